@@ -36,25 +36,91 @@ SEGMENTS = 8
 FULL = 2**64 - 1
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """64 bits: each is set if more than half of the hashes of the shingles, repeats included, have it set."""
-    tokens = text.lower().split()  # bytes.lower() changes A-Z only
-    if not tokens:
-        return 0
-    line = b" ".join(tokens)
-    n = max(1, len(tokens) - words + 1)
-    if n == 1:
-        shingles = [line]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        starts = (ends - np.fromiter(map(len, tokens), np.int64, len(tokens)) - 1)[:n]
-        shingles = [line[a:b] for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def xxh64(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many slices of data at once: by array up to 31 bytes, by the library above that."""
+    padded = data + bytes(8)
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)).copy()
+    out = np.full(len(starts), np.uint64(seed) + P5) + lengths.astype(np.uint64)
+    at, left = starts.copy(), lengths.copy()
+    short = lengths < 32
+    for _ in range(3):
+        i = np.flatnonzero(short & (left >= 8))
+        out[i] = rotated(out[i] ^ rotated(eights[at[i]] * P2, 31) * P1, 27) * P1 + P4
+        at[i] += 8
+        left[i] -= 8
+    i = np.flatnonzero(short & (left >= 4))
+    out[i] = rotated(out[i] ^ (eights[at[i]] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+    at[i] += 4
+    left[i] -= 4
+    for _ in range(3):
+        i = np.flatnonzero(short & (left >= 1))
+        out[i] = rotated(out[i] ^ (eights[at[i]] & np.uint64(0xFF)) * P5, 11) * P1
+        at[i] += 1
+        left[i] -= 1
+    out = (out ^ out >> np.uint64(33)) * P2
+    out = (out ^ out >> np.uint64(29)) * P3
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]], seed)
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if more than half of the hashes have it set."""
+    rows = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).view(np.uint64)
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(rows), 255):  # eight counts in a word, none of which overflows
+        counts += np.add.reduce(rows[at : at + 255], axis=0).view(np.uint8)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(texts: list[bytes], words: int = WORDS, seed: int = SEED) -> list[int]:
+    """64 bits for each text: the majority over the hashes of its shingles, repeats included."""
+    lines = [b" ".join(x.lower().split()) for x in texts]  # bytes.lower() changes A-Z only
+    data = b" ".join(lines) + b" "
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    ends = np.cumsum([len(x) + 1 for x in lines]) - 1  # where each line's closing blank stands
+    last = np.searchsorted(spaces, ends)
+    starts, lengths, counts, first = [], [], [], 0
+    for line, stop in zip(lines, last.tolist(), strict=True):
+        if line:
+            n = stop - first + 1
+            begin = np.concatenate((spaces[first - 1 : first] + 1 if first else [0], spaces[first:stop] + 1))
+            k = min(words, n)
+            starts.append(begin[: n - k + 1])
+            lengths.append(spaces[first + k - 1 : stop + 1] - starts[-1])
+        counts.append(len(starts[-1]) if line else 0)
+        first = stop + 1
+    if not starts:
+        return [0] * len(texts)
+    hashes = xxh64(data, np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int64), seed)
+    cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
+    return [majority(hashes[a:b]) if b > a else 0 for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    return fingerprints([text], words, seed)[0]
+
+
+def in_slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in groups of about `most` bytes, one text at least: arrays stay small."""
+    group, held = [], 0
+    for x in texts:
+        group.append(x)
+        held += len(x)
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -181,7 +247,7 @@ def classes_of(docs: DataFrame, words: int, seed: int, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, words, seed) for x in text_bytes(b)], np.uint64)
+            fps = np.array([f for group in in_slices(text_bytes(b)) for f in fingerprints(group, words, seed)], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(signed(fps), pa.int64())})
 
     work = Workspace(docs.sparkSession, "simhash")
