@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, chat, lines, mixing, quality, simhash, urls
+from groundwork.llm import bpe, chat, katz, lines, mixing, quality, simhash, urls
 from groundwork.llm.common import Workspace, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -45,5 +45,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", base).withColumn("kept", quality.keeps(rows.failed_mask, "v1"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_chat, op6_url_filter, op7_mixing, op8_simhash, op9_quality)}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_chat, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz)}
 ORACLE: dict[str, str] = {}
