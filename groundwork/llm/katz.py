@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import Workspace
-from groundwork.llm.exchange import Chunks, answers_of, mixed, pack, part_of, small, unpack
+from groundwork.llm.exchange import Chunks, answers_of, grouped, mixed, pack, part_of, runs, small, unpack
 from groundwork.llm.simhash import in_slices, xxh64
 
 LIMIT, SEED = 5, 0
@@ -111,16 +111,6 @@ class Loaded:
             self.index = index
 
 
-def grouped(order: np.ndarray, sorted_parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cuts = np.flatnonzero(np.concatenate(([True], sorted_parts[1:] != sorted_parts[:-1]))) if len(order) else np.empty(0, np.int64)
-    return order, sorted_parts[cuts], cuts
-
-
-def runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.empty(0, np.int64)
-
-
 def discounts(n: list[int], limit: int = LIMIT) -> np.ndarray:
     """d[r] for r = 0 to limit, from n[r] n-grams counted r times (n[0] unused): the highest limit at which each is in (0, 1]."""
     for k in range(limit, 0, -1):

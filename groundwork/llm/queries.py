@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, chat, katz, lines, mixing, quality, simhash, urls
+from groundwork.llm import bpe, chat, katz, lines, mixing, quality, repeats, simhash, urls
 from groundwork.llm.common import Workspace, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,5 +53,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_chat, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz)}
 ORACLE: dict[str, str] = {}
