@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, chat, katz, lines, mixing, quality, repeats, simhash, urls
+from groundwork.llm import ann, bpe, chat, katz, lines, mixing, quality, repeats, simhash, urls
 from groundwork.llm.common import Workspace, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.unionByName(extra)))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), 20, "vec_id", "embedding")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -53,5 +58,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op5_ann, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz)}
 ORACLE: dict[str, str] = {}
