@@ -174,7 +174,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, work: Workspace, beam:
     groups = max(1, -(-queries.count() // QUERY_GROUP))
     asked = queries.select("query", "x", F.size("x").alias("dim"), F.pmod("query", F.lit(groups)).alias("block"))
     shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    to = asked.join(index.select("dim", "shard"), "dim")  # each query to each shard: the stated query set, in blocks
+    last = index.agg(F.max("shard")).first()[0] or 0
+    to = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))  # each query to each shard: the stated query set, in blocks
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         empty = {"query": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())}
@@ -198,7 +199,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, work: Workspace, beam:
         return pa.table({"query": pa.array(of, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "score": pa.array(scores, pa.float64())})
 
     key = ["dim", "shard", "block"]
-    return shards.groupBy(*key).cogroup(to.groupBy(*key)).applyInArrow(run, "query long, ids array<long>, score double")
+    to = to.select(F.col("dim").alias("to_dim"), F.col("shard").cast("long").alias("to_shard"), F.col("block").cast("long").alias("to_block"), "query", "x")
+    shards = shards.withColumn("block", F.col("block").cast("long"))
+    return shards.groupBy(*key).cogroup(to.groupBy("to_dim", "to_shard", "to_block")).applyInArrow(run, "query long, ids array<long>, score double")
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
