@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from groundwork.llm.common import Workspace, map_batches, partitions
 
 #: Bytes of text after which a chunk is full.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -63,19 +63,15 @@ def windows_of(data: bytes, lengths: list[int]) -> dict[str, np.ndarray]:
     """Of documents that stand one after the other: hash of the anchor, first start, number of starts, and how far the anchor is from the first start."""
     ends = np.cumsum(lengths)
     docs = [(e - n, e - LENGTH + 1) for n, e in zip(lengths, ends.tolist(), strict=True) if n >= LENGTH]
-    found = []
+    found: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "start", "many", "off")}
+    first = 0
     for a in range(0, len(data) - LENGTH + 1, SEGMENT):
         b = min(a + SEGMENT, len(data) - LENGTH + 1)
         h = gram_hashes(data[a : b + LENGTH - 1])
         least = sliding_min(h & ~PLACE_BITS | np.arange(len(h), dtype=np.uint64), REACH)
-        found.append((h, (least & PLACE_BITS).astype(np.int64), a))
-    key, start, many, off = [], [], [], []
-    first = 0
-    for h, place, a in found:
-        b = a + len(place)
-        new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        cuts = [new]
-        valid = np.zeros(len(place) + 1, bool)
+        place = (least & PLACE_BITS).astype(np.int64)
+        cuts = [np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))]
+        valid = np.zeros(len(place), bool)
         while first < len(docs) and docs[first][1] <= a:
             first += 1
         i = first
@@ -89,13 +85,9 @@ def windows_of(data: bytes, lengths: list[int]) -> dict[str, np.ndarray]:
         n = np.diff(np.append(cut, len(place)))
         good = valid[cut]
         cut, n = cut[good], n[good]
-        key.append(h[place[cut]])
-        start.append(cut + a)
-        many.append(n)
-        off.append(place[cut] - cut)
-    if not found:
-        return {"key": np.empty(0, np.uint64)} | {k: np.empty(0, np.int64) for k in ("start", "many", "off")}
-    return {k: np.concatenate(v) for k, v in (("key", key), ("start", start), ("many", many), ("off", off))}
+        for k, v in (("key", h[place[cut]]), ("start", cut + a), ("many", n), ("off", place[cut] - cut)):
+            found[k].append(v)
+    return {k: np.concatenate(v) if v else np.empty(0, np.uint64 if k == "key" else np.int64) for k, v in found.items()}
 
 
 def build(ids: list, texts: list[bytes]) -> dict[str, object]:
