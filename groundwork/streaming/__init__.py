@@ -1,0 +1 @@
+"""The pipelines are batch jobs over dumps: nothing in them has event time, state or late data, so this package is empty."""
