@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def unicode_pattern(p: str) -> str:
     return f"(?U){p}"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: inside another lambda it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def trim(c: Column | str) -> Column:
     """Without white space of any kind at both ends; F.trim knows blanks only."""
     return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
@@ -59,9 +66,12 @@ def words(c: Column | str) -> Column:
 
 def shingles(c: Column | str, k: int = 5) -> Column:
     """Distinct runs of k words; fewer words are one run, none are none."""
-    w = words(c)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return let(words(c), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

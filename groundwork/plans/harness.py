@@ -69,14 +69,14 @@ def h02_ordinal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("stars >= 2")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber) as r from lineitem) where r = 1")
+@query("select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as r from lineitem) where r = 1")
 def h03_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.first_wins(t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
+    return classify.first_wins(t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query(f"with {SQL_RECORDS} select variation_id, gene, label, rsid, cast(last_evaluated as date) as last_evaluated, pos, review_stars from records")
+@query(f"with {SQL_RECORDS} select variation_id, gene, label, rsid, cast(cast(last_evaluated as date) as string) as last_evaluated, pos, review_stars from records")
 def h04_filter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("variation_id", "gene", "label", "rsid", F.to_date("last_evaluated").alias("last_evaluated"), "pos", "review_stars")
+    return records(spark, sf_dir).select("variation_id", "gene", "label", "rsid", F.to_date("last_evaluated").cast("string").alias("last_evaluated"), "pos", "review_stars")
 
 
 @query(f"with {SQL_RECORDS} select variation_id, coalesce(last_evaluated > timestamp '1996-01-01', false) as is_holdout from records")
