@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundwork.llm import ann, bpe, chat, katz, lines, mixing, quality, repeats, simhash, urls
 from groundwork.llm.common import Workspace, table
+from groundwork.llm.oracle import ORACLE
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -44,6 +45,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the mix: sizes and targets. Which words are taken depends on the hash that orders them."""
+    return op7_mixing(spark, sf_dir).selectExpr("doc_id", "source", "size", "source_size", "round(target, 3) target")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,5 +64,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op5_ann, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op5_ann, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz, mixing_targets)}
+__all__ = ["ORACLE", "QUERIES"]
