@@ -21,9 +21,9 @@ def documents(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         inside = F.from_json(c, wrapped)
         return F.when(c.startswith("["), F.from_json(c, f"array<{DOCUMENT}>")).otherwise(F.coalesce(*(inside[w] for w in fixed.WRAPPERS), F.array(F.from_json(c, DOCUMENT))))
 
-    # text that isn't one JSON value is read line by line
-    whole = F.try_parse_json(F.col("p")).isNotNull()
-    parts = F.when(whole, F.array("p")).otherwise(F.filter(F.transform(F.split("p", r"\r\n|\r|\n"), trim), lambda x: x != ""))
+    # lines of JSON begin with a line that is JSON by itself; one value over several lines doesn't
+    each = F.filter(F.transform(F.split("p", r"\r\n|\r|\n"), trim), lambda x: x != "")
+    parts = F.when(F.try_parse_json(F.element_at(each, 1)).isNotNull(), each).otherwise(F.array("p"))
     rows = payloads.select(F.monotonically_increasing_id().alias("payload_no"), trim(payload).alias("p")).where("p <> ''")
     docs = rows.select("payload_no", F.posexplode(F.flatten(F.transform(parts, unwrap))).alias("doc_no", "doc"))
     return docs.where("doc is not null")
