@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from groundwork.llm.common import Workspace, map_batches, text_bytes
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
