@@ -12,15 +12,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-import groundwork
-
-# Executors need not have this repository on their path.
-cloudpickle.register_pickle_by_value(groundwork)
-
 #: Bounds on what one Arrow batch hands to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
