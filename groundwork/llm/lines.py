@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import Workspace
+from groundwork.llm.common import Workspace, free_name
 
 MIN_LINES = 3
 PLACE = ["line_doc", "line_text", "line_pos"]
@@ -84,9 +84,12 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with text replaced by the kept lines, and n_lines, n_removed, n_runs."""
-    runs = repeated_runs(docs, min_lines)
-    rows = place_of(docs).join(runs.hint("shuffle_hash"), ["line_doc", "line_text"], "left")
+    """docs with text replaced by the kept lines, and n_lines, n_removed, n_runs (with underscores before a name that docs has)."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with working columns
+    given = dict(zip([c.lower() for c in docs.columns], names, strict=True))
+    runs = repeated_runs(docs.select("doc_id", "text"), min_lines)
+    rows = docs.toDF(*names).withColumns({"doc_id": F.col(given["doc_id"]), "text": F.col(given["text"]).cast("string")})
+    rows = place_of(rows).join(runs.hint("shuffle_hash"), ["line_doc", "line_text"], "left")
     lines = F.split("text", "\n")
     gone = lambda i: F.exists("runs", lambda r: (r["start"] <= i) & (i <= r["end"]))
     kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n"))
@@ -96,4 +99,5 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         "n_removed": removed.cast("long"),
         "n_runs": F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long"),
     }
-    return rows.withColumns(counts).withColumn("text", kept).select(*docs.columns, *counts)
+    own = [(kept if c == given["text"] else F.col(c)).alias(name) for c, name in zip(names, docs.columns, strict=True)]
+    return rows.select(*own, *(x.alias(free_name(docs, n)) for n, x in counts.items()))

@@ -267,9 +267,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit
 
 def one_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = KEY_LIMIT) -> DataFrame:
     """docs without those that have a near-duplicate with a smaller doc_id; of rows that repeat an id and a text one stays."""
-    kept = classes_of(docs, words, seed, limit).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count("*").alias("n"))
+    kept = classes_of(docs, words, seed, limit).where("doc_id <=> component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
     kept = Workspace(docs.sparkSession, "one-of-each").write(kept, "kept")
-    same = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")), "left_semi")
+    own_id, own_key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
+    named = kept.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    same = docs.join(named, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left_semi")
     if kept.where("n > 1").isEmpty():
         return same
     key = free_name(docs, "text_key")
