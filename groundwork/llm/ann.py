@@ -25,6 +25,8 @@ from groundwork.llm.common import Workspace, bounded_batches
 
 SHARD_ROWS, QUERY_GROUP = 8192, 1 << 16
 DEGREE, BEAM, ALPHA, BATCH, CANDIDATES = 32, 64, 1.2, 256, 128
+#: The queries' beam, wider than the one that proposes neighbours.
+SEARCH_BEAM = 128
 
 
 def nearest_first(d: np.ndarray, k: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def build_index(nodes: DataFrame, work: Workspace, shard_rows: int = SHARD_ROWS)
     return work.write(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, entry long, vectors binary, graph binary, ids array<array<long>>"), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, work: Workspace, beam: int = BEAM) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, work: Workspace, beam: int = SEARCH_BEAM) -> DataFrame:
     """query (a number of the distinct query vector), ids and score of the k best nodes of each shard. queries: query, x."""
     groups = max(1, -(-queries.count() // QUERY_GROUP))
     asked = queries.select("query", "x", F.size("x").alias("dim"), F.pmod("query", F.lit(groups)).alias("block"))
@@ -204,7 +206,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, work: Workspace, beam:
     return shards.groupBy(*key).cogroup(to.groupBy("to_dim", "to_shard", "to_block")).applyInArrow(run, "query long, ids array<long>, score double")
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (of the same columns) its k nearest candidates of other ids."""
     work = Workspace(candidates.sparkSession, "ann")
     bounded_batches(candidates.sparkSession)

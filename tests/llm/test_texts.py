@@ -281,10 +281,10 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0), 20, "vec_id", "embedding").count() == 0
 
 
-def test_graph_recall_in_a_shard_with_many_equal_neighbours():
+def test_graph_recall_with_uneven_lengths():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 24)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
     graph, entry = ann.build_graph(x)
-    found, _ = ann.beam_search(x, graph, entry, x[::20], 64)
+    found, _ = ann.beam_search(x, graph, entry, x[::20], ann.SEARCH_BEAM)
     top = np.argsort(-(x[::20] @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), found.tolist(), strict=True)]) >= 0.9
