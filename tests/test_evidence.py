@@ -429,12 +429,13 @@ def test_pipelines_end_to_end(spark, tmp_path):
     comments = comments.unionByName(comments.withColumn("ordinal", F.col("ordinal") + 1000).withColumn("SCV", F.concat("SCV", F.lit("b"))))
     cfg = artifacts.Config(target=48, fractions={"train": 0.5, "test": 0.5})
     parts = pipelines.record_set(raw, comments, cfg)
-    main = parts["main"].persist()
+    keep = lambda df, name: (artifacts.write_parquet(df, f"{tmp_path}/{name}"), artifacts.read_parquet(spark, f"{tmp_path}/{name}"))[1]
+    main = keep(parts["main"], "main")
     assert main.count() == 48 and "is_holdout" in main.columns
-    clean = pipelines.clean_comments(comments).persist()
+    clean = keep(pipelines.clean_comments(comments), "comments")
     assert clean.count() == 96 and clean.where("sanitized like '%classified%'").count() == 0
     passages = main.select("variation_id", "gene").join(entities.passages(entities.documents(spark.createDataFrame([(json.dumps([DOC]),)], "payload string")))).withColumn("genes", F.array("gene")).drop("gene").withColumn("position", F.col("order"))
-    pool = pipelines.evidence(main, passages, clean).persist()
+    pool = keep(pipelines.evidence(main, passages, clean), "evidence")
     pools = pipelines.evidence_pools(main, pool)
     artifacts.write_jsonl(pools, f"{tmp_path}/pools")
     back = artifacts.read_pools(spark, f"{tmp_path}/pools").persist()
