@@ -46,8 +46,11 @@ def ranked(rows: DataFrame, work: Workspace, name: str, spread: Callable[[Column
     n = keys.count()
     part = lambda key, parts: F.least(F.floor(spread(F.col(key)) * parts), F.lit(parts - 1))
     cut = keys.withColumns({"part": part("x", max(1, -(-n // RANGE_ROWS))), "sub": part("y", 64)})
-    sums = cut.groupBy("part", "sub").agg(F.count("*").alias("n_keys"))  # one row per range of keys
-    start = sums.select("part", "sub", F.coalesce(F.sum("n_keys").over(Window.orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    so_far = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy("part", "sub").agg(F.count("*").alias("n_keys"))
+    of_part = sums.groupBy("part").agg(F.sum("n_keys").alias("n_part"))  # one row per RANGE_ROWS keys: all that is ever in one task
+    of_part = of_part.select("part", so_far(Window.orderBy("part"), "n_part").alias("part_start"))
+    start = sums.withColumn("sub_start", so_far(Window.partitionBy("part").orderBy("sub"), "n_keys")).join(of_part, "part").select("part", "sub", (F.col("part_start") + F.col("sub_start")).alias("start"))
     in_part = F.row_number().over(Window.partitionBy("part", "sub").orderBy("x", "y"))
     numbers = cut.join(start, ["part", "sub"]).select("x", "y", (F.col("start") + in_part).alias("rank"))
     out = work.write(rows.join(numbers, ["x", "y"]).select(*PLACE, "rank"), name)
@@ -91,8 +94,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     rows = docs.toDF(*names).withColumns({"doc_id": F.col(given["doc_id"]), "text": F.col(given["text"]).cast("string")})
     rows = place_of(rows).join(runs.hint("shuffle_hash"), ["line_doc", "line_text"], "left")
     lines = F.split("text", "\n")
-    gone = lambda i: F.exists("runs", lambda r: (r["start"] <= i) & (i <= r["end"]))
-    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n"))
+    # what stands between the runs is cut out whole, so a text takes time in proportion to its lines, however many runs it has
+    after = lambda i: F.coalesce(F.get(F.col("runs"), i - 1)["end"] + 1, F.lit(0))
+    until = lambda i, x: F.coalesce(F.get(F.col("runs"), i)["start"], F.size(x))
+    between = lambda x: F.transform(F.sequence(F.lit(0), F.size("runs")), lambda i: F.slice(x, after(i) + 1, until(i, x) - after(i)))
+    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda x: F.array_join(F.flatten(between(x)), "\n"))[0])
     removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda s, r: s + r["end"] - r["start"] + 1), F.lit(0))
     counts = {
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
