@@ -72,9 +72,11 @@ def mix(sized: DataFrame, rows: DataFrame | None = None, weights: tuple[float, .
     """`rows` (by default `sized`) with source_size, target and taken: words the mix takes of a row, repeats counted.
 
     `rows` has doc_id, source and size, and may carry texts; the sums are formed from `sized` alone, without texts.
+    The tables of sources and of buckets are written, so that the planner knows their real sizes: it broadcasts them up
+    to its limit, and does not shuffle the rows by source, only by bucket.
     """
-    rows = sized if rows is None else rows
-    t = targets(sized, weights, share, most).withColumn("n_buckets", F.ceil(F.col("n_rows") / BUCKET_ROWS))
+    rows, work = sized if rows is None else rows, Workspace(sized.sparkSession, "mix-sums")
+    t = work.write(targets(sized, weights, share, most).withColumn("n_buckets", F.ceil(F.col("n_rows") / BUCKET_ROWS)), "sources")
     bucket = F.least(F.floor(F.col("mix_key") / F.lit(float(2**63)) * F.col("n_buckets")), F.col("n_buckets") - 1)
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def mix(sized: DataFrame, rows: DataFrame | None = None, weights: tuple[float, .
 
     in_buckets = dealt(sized).groupBy("mix_source", "mix_bucket").agg(F.sum("size").alias("bucket_size"))
     so_far = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = in_buckets.select("mix_source", "mix_bucket", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0)).alias("bucket_start"))
+    starts = work.write(in_buckets.select("mix_source", "mix_bucket", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0)).alias("bucket_start")), "buckets")
     within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt(rows).join(starts, ["mix_source", "mix_bucket"]).withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.round("target").cast("long")
