@@ -308,9 +308,13 @@ SQL_PROMPTS = f"""{SQL_DONORS}, ev as ({SQL_EVIDENCE.format(documents='documents
   || chr(10) || chr(10) || 'CLASSIFICATION' || chr(10) || case label when 'pathogenic' then '{fixed.LABEL_TEXTS['pathogenic']}' else '{fixed.LABEL_TEXTS['benign']}' end || chr(10) || chr(10) || 'EVIDENCE' || chr(10) || coalesce(array_to_string(list_transform(passages, lambda p, i: '[' || i || '] (' || p.source || coalesce(', ' || p.year, '') || ') ' || trim(p.text, chr(10) || chr(9) || chr(13) || ' ')), chr(10) || chr(10)), '{fixed.NO_EVIDENCE}') || chr(10) || chr(10) || 'TASK' || chr(10) || '{fixed.TASK.replace(chr(10), "' || chr(10) || '")}' as "user" from status where status = 'built')"""
 
 
+#: All documents, whole texts. SQL_EVIDENCE takes ids below 1000 and 150 characters of them.
+EVIDENCE = ("'G' || cast(doc_id % 120 as string) as gene", "doc_id", "source", "text", "case when doc_id % 4 = 0 then null else cast(2000 + doc_id % 20 as int) end as year")
+
+
 def prompt_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     main = main_set(spark, sf_dir)
-    docs = spark.sql(SQL_EVIDENCE, documents=t(spark, sf_dir, "documents"))
+    docs = t(spark, sf_dir, "documents").selectExpr(*EVIDENCE)
     item = F.struct("doc_id", "source", "text", "year")
     delivered = main.select("variation_id", "gene").join(docs, "gene").groupBy("variation_id").agg(F.array_sort(F.collect_list(item)).alias("passages"))
     return main.join(delivered, "variation_id", "left_semi"), delivered, arms.assign_donors(main)

@@ -10,7 +10,7 @@ import pytest
 from groundwork.functions import fixed
 from groundwork.functions import text as T
 from groundwork.operators import arms, budget, classify, dedupe, entities, generate, gold, rank, sample, sanitize, split
-from groundwork.plans import pipelines, reports
+from groundwork.plans import harness, pipelines, reports
 from groundwork.sources import artifacts, dumps, rest
 from pyspark.sql import functions as F
 
@@ -453,3 +453,11 @@ def test_pipelines_end_to_end(spark, tmp_path):
     assert "sentences" in reports.comment_report(main, comments, clean, f"{tmp_path}/c.md") and "median" in reports.coverage_report(covered, f"{tmp_path}/v.md")
     artifacts.write_csv(covered, f"{tmp_path}/csv")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == 5
+
+
+def test_prompts_take_all_documents_and_whole_texts(spark, tmp_path, monkeypatch):
+    late = "x" * 200 + " rs12345"
+    spark.createDataFrame([(1, "short", "s"), (1201, late, "s"), (2, "other gene", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(harness, "main_set", lambda spark, _: spark.createDataFrame([("v", "G1", "benign", "train")], "variation_id string, gene string, label string, split string"))
+    _, delivered, _ = harness.prompt_parts(spark, str(tmp_path))
+    assert [(p["doc_id"], p["text"]) for r in delivered.collect() for p in r["passages"]] == [(1, "short"), (1201, late)]
