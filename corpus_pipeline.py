@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted from the texts; n_chars follows. A document of which no visible character is left goes."""
-    out = lines.dedup_lines(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = lines.dedup_lines(docs, min_words=lines.MIN_WORDS).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.selectExpr(*(c if c != "n_chars" else "if(n_removed = 0, n_chars, cast(length(text) as long)) n_chars" for c in docs.columns))
 
 

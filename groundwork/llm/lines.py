@@ -7,7 +7,8 @@ is the suffix array cut at that depth, and its intervals of common prefix >= `mi
 first place of an interval stays; consecutive later places join into maximal repeated runs, which are deleted.
 
 So a line goes exactly if it lies in `min_lines` consecutive lines that stand at an earlier place as well, by doc_id, then
-line number. Ranks come from counts of key ranges: no sort of all rows, no group collected in one task; frequent lines
+line number. With `min_words`, fewer lines suffice if they have that many words: then depth grows line by line, and the
+intervals of every depth count whose prefixes have the words. Ranks come from counts of key ranges: no sort of all rows, no group collected in one task; frequent lines
 are combined before they move, and joined by joins whose large partitions the planner splits.
 
 Defined cases: a null text has no lines, stays null and removes nothing; an empty text is one empty line; rows with equal
@@ -22,9 +23,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import Workspace, free_name
+from groundwork.llm.common import WORD, Workspace, free_name
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 50
 PLACE = ["line_doc", "line_text", "line_pos"]
 LAST = 2**63 - 1
 #: Rows of a key range that one task orders.
@@ -37,11 +38,12 @@ def place_of(df: DataFrame) -> DataFrame:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     each = place_of(docs).where("text is not null").select("line_doc", "line_text", F.posexplode(F.split("text", "\n")).alias("line_pos", "line"))
-    return each.select(*PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(2), "line").alias("y")).distinct()
+    n_words = F.regexp_count("line", F.lit(WORD))
+    return each.select(*PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(2), "line").alias("y"), n_words.alias("line_words"), n_words.cast("long").alias("words")).distinct()
 
 
 def ranked(rows: DataFrame, work: Workspace, name: str, spread: Callable[[Column], Column]) -> tuple[DataFrame, int]:
-    """PLACE and rank, from 1: of the keys (x, y) that occur twice or more, in order. spread: a half key as a fraction of its range."""
+    """PLACE, words and rank, from 1: of the keys (x, y) that occur twice or more, in order. spread: a half key as a fraction of its range."""
     keys = work.write(rows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), f"{name}-keys")
     n = keys.count()
     part = lambda key, parts: F.least(F.floor(spread(F.col(key)) * parts), F.lit(parts - 1))
@@ -53,44 +55,55 @@ def ranked(rows: DataFrame, work: Workspace, name: str, spread: Callable[[Column
     start = sums.withColumn("sub_start", so_far(Window.partitionBy("part").orderBy("sub"), "n_keys")).join(of_part, "part").select("part", "sub", (F.col("part_start") + F.col("sub_start")).alias("start"))
     in_part = F.row_number().over(Window.partitionBy("part", "sub").orderBy("x", "y"))
     numbers = cut.join(start, ["part", "sub"]).select("x", "y", (F.col("start") + in_part).alias("rank"))
-    out = work.write(rows.join(numbers, ["x", "y"]).select(*PLACE, "rank"), name)
+    out = work.write(rows.join(numbers, ["x", "y"]).select(*PLACE, "line_words", "words", "rank"), name)
     work.drop(f"{name}-keys")
     return out, n
 
 
-def suffix_ranks(docs: DataFrame, min_lines: int, work: Workspace) -> DataFrame:
-    """PLACE and rank of the suffixes whose first min_lines lines stand at two places or more."""
+def later_places(ranks: DataFrame, depth: int) -> DataFrame:
+    """PLACE, last: the prefixes of depth lines that stand at an earlier place as well."""
+    first = ranks.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first"))
+    later = ranks.join(first, "rank").where(F.struct(*PLACE) > F.col("first"))
+    return later.select(*PLACE, (F.col("line_pos") + depth - 1).alias("last"))
+
+
+def repeated_prefixes(docs: DataFrame, min_lines: int, min_words: int | None, work: Workspace) -> DataFrame:
+    """PLACE, last: all later copies of min_lines lines, or of fewer with min_words words."""
     lines = work.write(line_rows(docs), "lines")
     ranks, n = ranked(lines, work, "ranks-1", lambda h: h.cast("double") / F.lit(2.0**64) + F.lit(0.5))
     work.drop("lines")
-    depth = 1
+    depth, short = 1, []
     while depth < min_lines:
-        step = min(depth, min_lines - depth)  # two overlapping prefixes at the last
+        if min_words is not None:
+            short.append(work.write(later_places(ranks.where(F.col("words") >= min_words), depth), f"later-{depth}"))
+        step = 1 if min_words is not None else min(depth, min_lines - depth)  # two overlapping prefixes at the last
         ahead = Window.partitionBy("line_doc", "line_text").orderBy("line_pos").rangeBetween(step, step)
-        pairs = ranks.withColumn("y", F.first("rank").over(ahead)).where("y is not null").withColumnRenamed("rank", "x")
+        pairs = ranks.withColumns({"y": F.first("rank").over(ahead), "words": F.col("line_words") + F.first("words").over(ahead)})  # words hold for steps of 1
+        pairs = pairs.where("y is not null").withColumnRenamed("rank", "x")
         depth, before, high = depth + step, f"ranks-{depth}", max(1, n)
         ranks, n = ranked(pairs, work, f"ranks-{depth}", lambda r, high=high: (r - 1) / F.lit(float(high)))
         work.drop(before)
-    return ranks
+    later = later_places(ranks, depth)
+    for x in short:
+        later = later.union(x)
+    return later
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """line_doc, line_text, runs: the maximal runs of lines, as (start, end), that are later copies."""
     work = Workspace(docs.sparkSession, "lines")
-    ranks = suffix_ranks(docs, min_lines, work)
-    first = ranks.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first"))
-    later = ranks.join(first, "rank").where(F.struct(*PLACE) > F.col("first")).select(*PLACE)
-    by_place = Window.partitionBy("line_doc", "line_text").orderBy("line_pos")
-    joined = later.withColumn("new", (F.col("line_pos") - F.lag("line_pos", 1, -(min_lines + 1)).over(by_place) > min_lines).cast("int"))
-    runs = joined.withColumn("run", F.sum("new").over(by_place)).groupBy("line_doc", "line_text", "run").agg(F.min("line_pos").alias("start"), (F.max("line_pos") + min_lines - 1).alias("end"))
+    by_place = Window.partitionBy("line_doc", "line_text").orderBy("line_pos", "last")
+    reached = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    joined = repeated_prefixes(docs, min_lines, min_words, work).withColumn("new", F.coalesce(F.col("line_pos") > reached + 1, F.lit(True)).cast("int"))
+    runs = joined.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("line_doc", "line_text", "run").agg(F.min("line_pos").alias("start"), F.max("last").alias("end"))
     return work.write(runs.groupBy("line_doc", "line_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """docs with text replaced by the kept lines, and n_lines, n_removed, n_runs (with underscores before a name that docs has)."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with working columns
     given = dict(zip([c.lower() for c in docs.columns], names, strict=True))
-    runs = repeated_runs(docs.select("doc_id", "text"), min_lines)
+    runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_words)
     rows = docs.toDF(*names).withColumns({"doc_id": F.col(given["doc_id"]), "text": F.col(given["text"]).cast("string")})
     rows = place_of(rows).join(runs.hint("shuffle_hash"), ["line_doc", "line_text"], "left")
     lines = F.split("text", "\n")

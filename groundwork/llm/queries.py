@@ -21,7 +21,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=lines.MIN_WORDS)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,33 @@ def test_line_dedup(spark, m):
         assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("m", [1, 3, 4])
+def test_line_dedup_by_words(spark, m):
+    rng = random.Random(m)
+    pool = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abcdefg", (1, 2, 3, 5, 6, 9, 0), strict=True)]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for k in range(30)] + [(40, pool[5]), (41, f"new\n{pool[5]}"), (42, None)]
+    seen, want = set(), []
+    for i, t in rows:
+        ls, gone = [] if t is None else t.split("\n"), set()
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                run = tuple(ls[a:b])
+                if run in seen and (b - a >= m or sum(len(x.split()) for x in run) >= 8):
+                    gone.update(range(a, b))
+                seen.add(run)
+        want.append((i, t if t is None else "\n".join(x for j, x in enumerate(ls) if j not in gone), len(ls), len(gone)))
+    got = lines.dedup_lines(docs(spark, rows), m, min_words=8)
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_registered_line_dedup_removes_a_long_line(spark, tmp_path):
+    from groundwork.llm import queries
+
+    long = " ".join(f"w{i}" for i in range(50))
+    spark.createDataFrame([(1, long), (2, f"own\n{long}"), (3, "own")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == {1: long, 2: "own", 3: "own"}
+
+
 def test_nearest(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [0.5, 0.5]), (4, None), (5, [nan, 1.0]), (6, [0.0, 0.0]), (7, [1.0, None]), (None, [3.0, 3.0]), (8, [9.0, 1.0]), (8, [9.0, 1.0]), (40, [1.0, 2.0, 3.0]), (9, [1.0, 1.0, 1.0]), (60, [])]
