@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, lines, mixing, quality, simhash
+from groundwork.llm import bpe, jaccard, lines, mixing, quality
 from groundwork.llm.common import Workspace
 
 
@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays: that with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

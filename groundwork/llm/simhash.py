@@ -82,8 +82,8 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(texts: list[bytes], words: int = WORDS, seed: int = SEED) -> list[int]:
-    """64 bits for each text: the majority over the hashes of its shingles, repeats included."""
+def shingle_hashes(texts: list[bytes], words: int, seed: int) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the shingles of all texts, repeats included, and where each text's begin (and the last one's end)."""
     lines = [b" ".join(x.lower().split()) for x in texts]  # bytes.lower() changes A-Z only
     data = b" ".join(lines) + b" "
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
@@ -100,9 +100,14 @@ def fingerprints(texts: list[bytes], words: int = WORDS, seed: int = SEED) -> li
         counts.append(len(starts[-1]) if line else 0)
         first = stop + 1
     if not starts:
-        return [0] * len(texts)
+        return np.empty(0, np.uint64), [0] * (len(texts) + 1)
     hashes = xxh64(data, np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int64), seed)
-    cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
+    return hashes, np.concatenate(([0], np.cumsum(counts))).tolist()
+
+
+def fingerprints(texts: list[bytes], words: int = WORDS, seed: int = SEED) -> list[int]:
+    """64 bits for each text: the majority over the hashes of its shingles, repeats included."""
+    hashes, cuts = shingle_hashes(texts, words, seed)
     return [majority(hashes[a:b]) if b > a else 0 for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -267,7 +272,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit
 
 def one_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = KEY_LIMIT) -> DataFrame:
     """docs without those that have a near-duplicate with a smaller doc_id; of rows that repeat an id and a text one stays."""
-    kept = classes_of(docs, words, seed, limit).where("doc_id <=> component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    return keep_first(docs, classes_of(docs, words, seed, limit))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of docs that give their component (doc_id, text_key, component_id) its name; of rows that repeat an id and a text one stays."""
+    kept = classes.where("doc_id <=> component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
     kept = Workspace(docs.sparkSession, "one-of-each").write(kept, "kept")
     own_id, own_key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
     named = kept.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))

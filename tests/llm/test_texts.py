@@ -14,7 +14,7 @@ pytest.importorskip("groundwork.llm")
 import public_tokenizers as P  # noqa: E402
 import tiktoken  # noqa: E402
 import xxhash  # noqa: E402
-from groundwork.llm import ann, bpe, chat, exchange, katz, lines, quality, repeats, sais, simhash  # noqa: E402
+from groundwork.llm import ann, bpe, chat, exchange, jaccard, katz, lines, quality, repeats, sais, simhash  # noqa: E402
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -255,6 +255,33 @@ def brute_lines(rows, m):
             yield i, "\n".join(x for j, x in enumerate(ls) if j not in gone[i, t]), len(ls), len(gone[i, t])
 
 
+def test_jaccard_classes_and_the_pipelines_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for k in (0, 0, 1, 1, 2, 3, 4, 6, 2, 3, 1):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w) + " common words that all of them have at their end")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, " "), (902, "one two"), (903, "One  two"), (None, texts[0]), (3, texts[3])]
+    w = [re.findall(WORD, lower(t or "")) for _, t in rows]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) / len(a | b) >= 0.8]
+    root, named = components(range(len(rows)), near), {}
+    for k, r in root.items():
+        named.setdefault(r, []).append(rows[k][0])
+    want = sorted((str(rows[k][0]), min(x for x in named[r] if x is not None)) for k, r in root.items())
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.classes_of(docs(spark, rows)).collect()) == want
+    assert any((simhash.fingerprint(rows[i][1].encode()) ^ simhash.fingerprint(rows[j][1].encode())).bit_count() > 3 for i, j in near if rows[i][1] and rows[j][1])
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for _, i in want})
+    assert jaccard.one_of_each(docs(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
 def test_line_dedup(spark, m):
     rng = random.Random(m)
