@@ -137,6 +137,12 @@ def h11_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(None)
+def h11_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of h11_similar_pairs stands for each document."""
+    return dedupe.membership(t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "text")
+
+
 @query(None)
 def h12_greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.greedy_keep(t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "text", 0.5).select("doc_id", "source", "lang")

@@ -461,3 +461,12 @@ def test_prompts_take_all_documents_and_whole_texts(spark, tmp_path, monkeypatch
     monkeypatch.setattr(harness, "main_set", lambda spark, _: spark.createDataFrame([("v", "G1", "benign", "train")], "variation_id string, gene string, label string, split string"))
     _, delivered, _ = harness.prompt_parts(spark, str(tmp_path))
     assert [(p["doc_id"], p["text"]) for r in delivered.collect() for p in r["passages"]] == [(1, "short"), (1201, late)]
+
+
+def test_null_groups_and_membership(spark):
+    rows = [(None, 1, "a b c d e f"), (None, 2, "A b c d e f"), (None, 3, "a b c d e f g"), ("x", 4, "a b c d e f"), ("x", 5, "other words")]
+    df = spark.createDataFrame(rows, "g string, pos long, text string")
+    assert [tuple(r)[:3] for r in dedupe.similar_pairs(df, ["g"], "pos", "text", 0.6).collect()] == [(None, 1, 3)]
+    assert sorted(r["pos"] for r in dedupe.greedy_keep(df, ["g"], "pos", "text", 0.6).collect()) == [1, 4, 5]
+    got = {r["pos"]: (r["g"], r["representative"], r["copies"]) for r in dedupe.membership(df, ["g"], "pos", "text").collect()}
+    assert got == {1: (None, 1, 2), 2: (None, 1, 2), 3: (None, 3, 1), 4: ("x", 4, 1), 5: ("x", 5, 1)}
