@@ -7,6 +7,7 @@ cluster's shared folder and shape Arrow batches for the Python stages.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,24 +28,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes as well as by rows: rows hold whole texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds Arrow batches by bytes as well as by rows, since rows hold whole texts of any length, unless the session has bounds of its own."""
+    own = spark.conf.getAll
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if key not in own:
+            spark.conf.set(key, str(most))
 
 
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir named. Where neither is
+    set, a local session gets a temporary folder; on a cluster that would be one machine's, so it is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and (named := context._jsc.sc().getCheckpointDir()).isDefined():
+        folder = named.get()
     if folder:
         return folder.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="groundwork-"))
     return _own_folder[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan refers to any more; else they stay on the executors' disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """Tables written to the shared folder. A written table cuts lineage and survives the loss of executors.
 
@@ -61,9 +76,11 @@ class Workspace:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """by: a column that gets a folder for each of its (few) values."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        rows = df.write.option("compression", codec)
+        (rows.partitionBy(by) if by else rows).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -91,6 +108,3 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-

@@ -1,14 +1,20 @@
 """Chunks that ask a partitioned table, and are answered in the order of their own questions.
 
-Documents are dealt into chunks, whose rows are written once, bucketed by chunk. A chunk packs what it has to say about
-its distinct keys into one row per part of the key space; a part adds up all chunks' rows, and answers each chunk with
-values in the order in which that chunk sent its keys. So a frequent key is one item per chunk, keys travel once, answers
-without keys, and the chunks' own contents never. Rows of both kinds are packed arrays; parts and chunks have bounded
-sizes, of which their number follows from the input's.
+Documents are dealt into chunks, whose rows are written once, bucketed by chunk. A chunk's question is a table of
+distinct keys, sorted by the part of the key space they belong to; a part adds up what is asked of it, and answers with
+values in the order in which the keys were sent. So a frequent key is one item per chunk, keys travel once, answers
+without keys, and the chunks' own contents never.
+
+No chunk sends more than FAN rows. Where there are more parts than that, rows go to relays: a relay gets one range of
+parts from up to FAN chunks, adds them up as a part would, asks on in their place, at finer ranges, and hands the answers
+back. So the rows that move grow with the input, not with its square, in as many hops as the logarithm of the parts.
+
+Rows are packed arrays; parts hold about as many keys as PART_CHUNKS chunks, and relays as one.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,10 +24,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from groundwork.llm.common import Workspace, map_batches, partitions
+from groundwork.llm.common import Workspace, map_batches, partitions, release
 
 #: Bytes of text after which a chunk is full.
 CHUNK_BYTES = 8 << 20
+#: Rows that a chunk or relay sends at most, and chunks of keys in a part.
+FAN, PART_CHUNKS = 64, 2
+
+Table = dict[str, np.ndarray]
+Merge = Callable[[list[Table]], tuple[Table, list[np.ndarray]]]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -38,10 +49,31 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def small(values: np.ndarray) -> np.ndarray:
-    """The same whole numbers in the least unsigned type."""
+    """The same whole numbers, none of which is negative, in the least unsigned type."""
     return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
 
 
+def packed(table: Table) -> bytes:
+    """Columns of numbers or (as objects) of bytes."""
+    kinds = {k: (pack(small(np.array([len(x) for x in v], np.int64))), zstandard.ZstdCompressor(level=1).compress(b"".join(v))) if v.dtype == object else pack(small(v) if v.dtype.kind in "iu" else v) for k, v in table.items()}
+    return pickle.dumps(kinds)
+
+
+def unpacked(blob: bytes) -> Table:
+    return {k: strings(unpack(v[0]), zstandard.ZstdDecompressor().decompress(v[1])) if isinstance(v, tuple) else unpack(v) for k, v in pickle.loads(blob).items()}  # noqa: S301  (written by this job)
+
+
+def strings(lengths: np.ndarray, joined: bytes) -> np.ndarray:
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return objects([joined[b - n : b] for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)])
+
+
+def objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Equal ranges of 64-bit keys."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -57,22 +89,81 @@ def mixed(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def grouped(order: np.ndarray, sorted_parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cuts = np.flatnonzero(np.concatenate(([True], sorted_parts[1:] != sorted_parts[:-1]))) if len(order) else np.empty(0, np.int64)
-    return order, sorted_parts[cuts], cuts
+def runs(*sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values (of equal rows, for several arrays) begin."""
+    if not len(sorted_values[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(sorted_values[0]), bool)
+    new[0] = True
+    for x in sorted_values:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def added(keys: tuple[str, ...], sums: tuple[str, ...]) -> Merge:
+    """Puts tables together: rows of equal keys become one, `sums` are added up, other columns are equal where the keys are.
+    Gives the merged table, sorted by part and keys, and for each table the places of its rows in it."""
+
+    def merge(tables: list[Table]) -> tuple[Table, list[np.ndarray]]:
+        columns = {k: np.concatenate([t[k] for t in tables]) for k in tables[0]}
+        order = np.lexsort([columns[k] for k in (*reversed(keys), "part")])
+        begin = runs(*(columns[k][order] for k in keys))
+        index = np.empty(len(order), np.int64)
+        index[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+        out = {k: np.bincount(index, weights=v, minlength=len(begin)).astype(np.int64) if k in sums else v[order[begin]] for k, v in columns.items()}
+        return out, np.split(index, np.cumsum([len(t["part"]) for t in tables])[:-1])
+
+    return merge
+
+
+def rows_of(table: Table, which: np.ndarray | slice) -> Table:
+    return {k: v[which] for k, v in table.items()}
+
+
+def spans_of(parts: int) -> list[int]:
+    """Parts in a range, hop by hop; one part in the end."""
+    out = [-(-parts // FAN)]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // FAN))
+    return out
+
+
+SENT = "asker long, squad long, at long, blob binary"
+
+
+def sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("asker", "squad", "at", "blob"), kinds, strict=True))})
+
+
+def dealt(asker: int, squad: int, table: Table, span: int) -> list[tuple[int, int, int, bytes]]:
+    """A row for each range of `span` parts that a table, sorted by part, has rows for."""
+    at = table["part"].astype(np.int64) // span
+    begin = runs(at).tolist()
+    return [(asker, squad, int(at[a]), packed(rows_of(table, slice(a, b)))) for a, b in zip(begin, [*begin[1:], len(at)][: len(begin)], strict=True)]
+
+
+class Asked:
+    """What became of a question: answers (chunk, name, at, blob), and what the parts keep as tables or tell the driver (at, blob)."""
 
+    def __init__(self, answers: DataFrame, said: DataFrame):
+        self.answers, self.said = answers, said
 
-def runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.empty(0, np.int64)
+    def kept(self, kind: str) -> DataFrame:
+        return self.said.where(self.said.kind == kind).select("at", "blob")
+
+    def totals(self) -> Iterator[Table]:
+        """A few numbers for each part, one part after the other."""
+        for r in self.kept("totals").toLocalIterator():
+            yield unpacked(bytes(r["blob"]))
 
 
 class Chunks:
-    """The chunks of docs, written bucketed by chunk: joins with their answers leave them where they are."""
+    """The chunks of docs, written bucketed by chunk: joins with their answers leave them where they are. The table goes when the block ends, however it ends."""
 
-    def __init__(self, docs: DataFrame, work: Workspace, build: Callable[[list, list[bytes]], dict[str, object]], types: dict[str, pa.DataType], schema: str, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, work: Workspace, build: Callable[[list, list[bytes]], dict[str, object]], types: dict[str, pa.DataType], schema: str, chunk_bytes: int | None = None):
         """build: from doc_ids and UTF-8 texts of one chunk its columns."""
-        spark = docs.sparkSession
+        spark, chunk_bytes = docs.sparkSession, chunk_bytes or CHUNK_BYTES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts, held, n = [], [], 0, 0
@@ -96,37 +187,90 @@ class Chunks:
         self.spark, self.work, self.name = spark, work, f"groundwork_chunks_{uuid.uuid4().hex}"
         plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
         rows = map_batches(plain, run, f"chunk long, {schema}")
-        rows.write.format("parquet").option("compression", "zstd").bucketBy(partitions(spark), "chunk").saveAsTable(self.name)
-        self.table = spark.table(self.name)
-        self.count = self.table.select("chunk").count()
-        #: A part holds about as many keys as a chunk.
-        self.parts = max(partitions(spark), self.count)
+        try:
+            rows.write.format("parquet").option("compression", "zstd").bucketBy(partitions(spark), "chunk").saveAsTable(self.name)
+            self.table = spark.table(self.name)
+            self.count = self.table.select("chunk").count()
+        except BaseException:
+            self.drop()
+            raise
+        self.parts = max(1, -(-self.count // PART_CHUNKS))
+
+    def __enter__(self) -> Chunks:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
 
     def drop(self) -> None:
         self.spark.sql(f"drop table if exists {self.name}")
 
-    def ask(self, answers: DataFrame | None, question: Callable[[dict, list[dict]], Iterator[tuple[int, dict]]], answer: Callable[[int, list[dict]], Iterator[tuple[int, dict]]], name: str) -> DataFrame:
-        """Answers, written as (chunk, kind, part, blobs): `question` gives (part, blobs) of a chunk's row and its answers
-        so far, `answer` gives (chunk, blobs) of a part and all questions to it; chunk -1 is for the driver."""
+    def ask(self, answers: DataFrame | None, question: Callable[[dict, list[dict]], Table], merge: Merge, resolve: Callable[[int, Table, list[Table]], dict[str, Table]], name: str, stored: DataFrame | None = None) -> Asked:
+        """question: of a chunk's row and its answers so far, a table of distinct keys sorted by `part` and, within it, as
+        `merge` sorts. resolve: of a part, all that is asked of it, and what `stored` (at, blob) has for it, the `answer`
+        in the order of the merged rows, and, if it likes, tables that are kept and `totals` for the driver."""
+        spans, squads = spans_of(self.parts), max(1, -(-self.count // FAN))
 
-        def packed(rows: list[tuple[int, int, int, dict]]) -> pa.Table:
+        def asked(left: pa.Table, right: pa.Table) -> pa.Table:
+            return sent([x for row in left.to_pylist() for x in dealt(row["chunk"], row["chunk"] % squads, question(row, right.to_pylist()), spans[0])])
+
+        said: list[DataFrame] = []
+        answered = self._hop(self.with_answers(answers, asked, SENT), spans, 0, merge, resolve, name, stored, said)
+        release(self.spark)
+        return Asked(answered.selectExpr("asker chunk", f"'{name}' name", "at", "blob"), said[0])
+
+    def _hop(self, rows: DataFrame, spans: list[int], level: int, merge: Merge, resolve: Callable, name: str, stored: DataFrame | None, said: list[DataFrame]) -> DataFrame:
+        """asker, at, blob: the answers to the rows sent."""
+        if spans[level] == 1:
+            return self._parts(rows, merge, resolve, name, stored, said)
+        finer = spans[level + 1]
+
+        def relayed(rows: pa.Table) -> pa.Table:
+            rows = sorted(rows.to_pylist(), key=lambda r: r["asker"])
+            merged, index = merge([unpacked(r["blob"]) for r in rows])
+            places = pickle.dumps([pack(small(np.diff(i, prepend=0))) if (np.diff(i) >= 0).all() else pack(i) for i in index])
             return pa.table({
-                "chunk": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([name] * len(rows), pa.string()), "part": pa.array([r[2] for r in rows], pa.int64()),
-                "names": pa.array([list(r[3]) for r in rows], pa.list_(pa.string())), "blobs": pa.array([[pack(v) if isinstance(v, np.ndarray) else v for v in r[3].values()] for r in rows], pa.list_(pa.binary())),
+                "relay": pa.array([rows[0]["squad"] << 31 | rows[0]["at"]], pa.int64()), "squad": pa.array([rows[0]["squad"]], pa.int64()), "at": pa.array([rows[0]["at"]], pa.int64()),
+                "askers": pa.array([[r["asker"] for r in rows]], pa.list_(pa.int64())), "places": pa.array([places], pa.binary()), "merged": pa.array([packed(merged)], pa.binary()),
             })
 
-        schema = "chunk long, kind string, part long, names array<string>, blobs array<binary>"
-
-        def asked(left: pa.Table, right: pa.Table) -> pa.Table:
-            return packed([(row["chunk"], 0, part, blobs) for row in left.to_pylist() for part, blobs in question(row, right.to_pylist())])
-
-        def answered(table: pa.Table) -> pa.Table:
-            rows = [dict(zip(r["names"], r["blobs"], strict=True)) | {"chunk": r["chunk"]} for r in table.to_pylist()]
-            part = table.column("part")[0].as_py()
-            return packed([(chunk, 0, part, blobs) for chunk, blobs in answer(part, rows)])
-
-        questions = self.with_answers(answers, asked, schema)
-        return self.work.write(questions.groupBy("part").applyInArrow(answered, schema), name, "uncompressed")
+        def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    yield from sent(dealt(r["relay"], r["squad"] // FAN, unpacked(r["merged"]), finer)).to_batches()
+
+        def back(relay: pa.Table, got: pa.Table) -> pa.Table:
+            out = []
+            for r in relay.to_pylist():
+                whole = received(got.to_pylist(), None)
+                for asker, blob in zip(r["askers"], pickle.loads(r["places"]), strict=True):  # noqa: S301
+                    i = unpack(blob)
+                    out.append((asker, 0, r["at"], packed(rows_of(whole, i if i.dtype == np.int64 else np.cumsum(i, dtype=np.int64)))))
+            return sent(out)
+
+        relays = self.work.write(rows.groupBy("squad", "at").applyInArrow(relayed, "relay long, squad long, at long, askers array<long>, places binary, merged binary"), f"{name}-relays-{level}", "uncompressed")
+        got = self._hop(map_batches(relays.select("relay", "squad", "merged"), on, SENT), spans, level + 1, merge, resolve, name, stored, said)
+        out = relays.select("relay", "at", "askers", "places").groupBy("relay").cogroup(got.withColumnRenamed("asker", "relay").groupBy("relay")).applyInArrow(back, SENT)
+        return self.work.write(out, f"{name}-answers-{level}", "uncompressed").select("asker", "at", "blob")
+
+    def _parts(self, rows: DataFrame, merge: Merge, resolve: Callable, name: str, stored: DataFrame | None, said: list[DataFrame]) -> DataFrame:
+        def answered(asked: pa.Table, have: list[Table]) -> pa.Table:
+            asked = sorted(asked.to_pylist(), key=lambda r: r["asker"])
+            if not asked:
+                return pa.table({"asker": pa.array([], pa.int64()), "at": pa.array([], pa.int64()), "kind": pa.array([], pa.string()), "blob": pa.array([], pa.binary())})
+            at = asked[0]["at"]
+            merged, index = merge([unpacked(r["blob"]) for r in asked])
+            got = resolve(at, merged, have)
+            out = [(r["asker"], "answer", packed(rows_of(got["answer"], i))) for r, i in zip(asked, index, strict=True)] + [(-1, k, packed(v)) for k, v in got.items() if k != "answer"]
+            return pa.table({"asker": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([at] * len(out), pa.int64()), "kind": pa.array([x[1] for x in out], pa.string()), "blob": pa.array([x[2] for x in out], pa.binary())})
+
+        schema, by = "asker long, at long, kind string, blob binary", rows.groupBy("at")
+        if stored is None:
+            out = by.applyInArrow(lambda asked: answered(asked, []), schema)
+        else:
+            out = by.cogroup(stored.groupBy("at")).applyInArrow(lambda asked, have: answered(asked, [unpacked(x) for x in have.column("blob").to_pylist()]), schema)
+        said.append(self.work.write(out, name, "uncompressed", "kind"))
+        return said[0].where("kind = 'answer'").select("asker", "at", "blob")
 
     def with_answers(self, answers: DataFrame | None, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """f of each chunk's row and of the answers to it."""
@@ -139,9 +283,10 @@ class Chunks:
                         yield from f(pa.Table.from_batches([b.slice(i, 1)]), empty).to_batches()
 
             return map_batches(self.table, alone, schema)
-        return self.table.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(f, schema)
+        return self.table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
 
 
-def answers_of(rows: list[dict], kind: str) -> dict[int, dict]:
-    """part -> blobs of one kind of answers."""
-    return {r["part"]: dict(zip(r["names"], r["blobs"], strict=True)) for r in rows if r["kind"] == kind}
+def received(rows: list[dict], name: str | None) -> Table:
+    """The answers of one name to one asker, in the order of its question; without any, an empty table."""
+    own = [unpacked(r["blob"]) for r in sorted((r for r in rows if name is None or r["name"] == name), key=lambda r: r["at"])]
+    return {k: np.concatenate([t[k] for t in own]) for k in own[0]} if own else {}

@@ -1,19 +1,19 @@
-"""LM scoring: a bigram model with Katz backoff.
+"""LM scoring: a trigram model with Katz backoff.
 
 Counts with r <= 5 are discounted by Good-Turing, and what a context loses goes to the words not seen after it, in
-proportion to their unigram probabilities, by a weight that makes the context's probabilities sum to one. Unigrams are
-discounted alike; what they lose is the probability of the one unknown word. Where the counts of counts allow no discount
-for some r, the limit is lowered; a context (or the unigrams) that loses nothing, all its counts being above the limit,
-gives its unseen words one count: c / (total + 1). The log-probability of a text is the sum, over its words and its end,
-of log10 p(token | token before), the first one's context being the start of the text.
-
-Documents are tokenised once, into chunks. Counts live in tables partitioned by words, then by contexts (a context that
-has more than its share of all tokens: by context and word), and are formed from one item per chunk and distinct n-gram;
-the tables answer each chunk with the counts of just its own n-grams, on which the backoff is then evaluated per token.
-Words are told apart by 64 bits of hash.
-
-The order is two. About two thirds of all tokens start a bigram that their chunk holds once, nine tenths for trigrams,
-so a third order would double what travels, beyond the limits set for this operator (see the README).
+proportion to their probabilities after the context without its first word, by a weight that makes the context's
+probabilities sum to one; and so on, recursively, down to unigrams. Unigrams are discounted alike; what they lose is the
+probability of the one unknown word. Where the counts of counts allow no discount for some r, the limit is lowered; a
+context (or the unigrams) that loses nothing, all its counts being above the limit, gives its unseen words one count:
+c / (total + 1). The log-probability of a text is the sum, over its words and its end, of log10 p(token | the two before);
+before the first word stand two starts.
+
+Documents are tokenised once, into chunks. The counts of each order live in a table partitioned by context (a context that
+has more than its share of all tokens: by context and word, in as many pieces as it has shares), and are formed from one
+item per chunk and distinct n-gram. The tables answer each chunk with the counts of its own n-grams. Sums over a context's
+words are asked for in a last round, only for contexts after which a chunk has a word that the model hasn't seen there; the
+sums of a context in pieces are added up in its first piece's part. Then every token is evaluated, order by order.
+Words are told apart by 64 bits of hash, n-grams by the words' numbers.
 
 Defined cases: a null text is empty, and has one token, its end; a null doc_id counts as the empty string in the choice
 of training documents; repeated rows are documents of their own; without training tokens every token is unknown, with
@@ -28,16 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from groundwork.llm.common import Workspace
-from groundwork.llm.exchange import Chunks, answers_of, grouped, mixed, pack, part_of, runs, small, unpack
+from groundwork.llm.common import Workspace, map_batches
+from groundwork.llm.exchange import Chunks, Table, added, mixed, pack, packed, part_of, received, runs, small, unpack, unpacked
 from groundwork.llm.simhash import in_slices, xxh64
 
 LIMIT, SEED = 5, 0
 #: Folds by crc32 of the doc_id's text; this one is held out.
 FOLDS, HELD_OUT = 5, 1
 END = b"\n"  # no word
+#: A context with more than this share of a part's tokens is dealt out in pieces.
 HOT_SHARE = 4
+HISTOGRAM = [f"n{r}" for r in range(1, LIMIT + 1)]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -67,50 +70,6 @@ TYPES = {"doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "word
 SCHEMA = "doc_ids array<long>, lengths array<long>, words binary, tokens binary"
 
 
-class Loaded:
-    """A chunk's arrays."""
-
-    def __init__(self, row: dict):
-        self.ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
-        self.words, self.tokens = unpack(row["words"]), unpack(row["tokens"]).astype(np.int64)
-        self.held = np.array([held_out(i) for i in self.ids])
-        self.in_training = np.repeat(~self.held, self.lengths)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-
-    def words_by_part(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order by hash in which words are asked for, parts, and where each part begins in it."""
-        order = np.argsort(self.words)
-        return grouped(order, part_of(self.words[order], parts))
-
-    def take_words(self, answers: list[dict], parts: int) -> None:
-        order, named, cuts = self.words_by_part(parts)
-        got = answers_of(answers, "words")
-        self.count, self.number = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        for p, a, b in zip(named.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            self.count[order[a:b]] = unpack(got[p]["count"])
-            self.number[order[a:b]] = unpack(got[p]["number"])
-
-    def bigrams(self, parts: int, hot: int, with_index: bool) -> None:
-        """Distinct bigrams in the order (part, context, word) in which they are asked for. Contexts are local words, or the start, after all of them."""
-        n = len(self.words)
-        before = np.concatenate(([0], self.tokens[:-1]))
-        before[self.starts] = n
-        pair = before * n + self.tokens
-        keys, index = np.unique(pair, return_inverse=True)
-        self.context, self.word = keys // n, keys % n
-        end = int(self.tokens[-1])  # every text ends with it, and starts as often
-        self.context_count = np.append(self.count, self.count[end])
-        self.context_number = np.append(self.number, 0)
-        c, w = self.context_number[self.context], self.number[self.word]
-        spread = np.where(self.context_count[self.context] > hot, w, 0)
-        part = part_of(mixed(c, spread), parts)
-        order = np.lexsort((w, c, part))
-        self.order, self.named, self.cuts = grouped(order, part[order])
-        self.train = np.bincount(index[self.in_training], minlength=len(keys))
-        if with_index:
-            self.index = index
-
-
 def discounts(n: list[int], limit: int = LIMIT) -> np.ndarray:
     """d[r] for r = 0 to limit, from n[r] n-grams counted r times (n[0] unused): the highest limit at which each is in (0, 1]."""
     for k in range(limit, 0, -1):
@@ -123,6 +82,15 @@ def discounts(n: list[int], limit: int = LIMIT) -> np.ndarray:
     return np.ones(1)
 
 
+def discounted(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.where(count < len(d), d[np.minimum(count, len(d) - 1)], 1.0) * count
+
+
+def losing(d: np.ndarray) -> int:
+    """The counts that lose something, as bits."""
+    return sum(1 << r for r in range(1, len(d)) if d[r] < 1)
+
+
 class Unigrams:
     """p of a word by its count, and of the unknown word."""
 
@@ -133,146 +101,226 @@ class Unigrams:
         self.unknown = lost / total if lost > 0 else (1 / (total + 1) if total else 1.0)
 
     def p(self, count: np.ndarray) -> np.ndarray:
-        d = np.where(count < len(self.d), self.d[np.minimum(count, len(self.d) - 1)], 1.0)
-        return np.where(count > 0, d * count / max(1, self.total + self.plus), self.unknown)
-
-
-#: What a context's backoff weight is made of: words seen after it 1, 2, ... LIMIT times, the sum of greater counts, and the unigram probability of all of them.
-STATS = [f"n{r}" for r in range(1, LIMIT + 1)] + ["above", "lower"]
-
-
-def merge_words(part: int, rows: list[dict], parts: int) -> Iterator[tuple[int, dict]]:
-    """Adds up the chunks' counts of a part's words; numbers them, the most frequent first."""
-    keys = [unpack(r["words"]) for r in rows]
-    distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(index, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
-    number, at = rank * parts + part + 1, 0
-    for r, k in zip(rows, keys, strict=True):
-        i = index[at : at + len(k)]
-        yield r["chunk"], {"count": small(total[i]), "number": small(number[i])}
-        at += len(k)
-    of = np.bincount(np.minimum(total, LIMIT + 2), minlength=LIMIT + 3)
-    yield -1, {"totals": np.array([total.sum(), (total > 0).sum(), *of[1 : LIMIT + 2]], np.int64)}
-
-
-def merge_bigrams(rows: list[dict], unigrams: Unigrams, hot: int) -> Iterator[tuple[int, dict]]:
-    """Adds up the chunks' counts of a part's bigrams, and what its contexts' weights are made of."""
-    heads = [unpack(r["contexts"]).astype(np.int64) for r in rows]
-    sizes = [unpack(r["sizes"]).astype(np.int64) for r in rows]
-    context = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes, strict=True)])
-    word = np.concatenate([unpack(r["words"]) for r in rows]).astype(np.int64)
-    order = np.lexsort((word, context))
-    cs, ws = context[order], word[order]
-    new = np.concatenate(([True], (cs[1:] != cs[:-1]) | (ws[1:] != ws[:-1])))
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    del word, context
-    first = order[new]
-    total = np.bincount(index, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(first)).astype(np.int64)
-    lower = np.where(total > 0, unigrams.p(np.concatenate([unpack(r["word_counts"]) for r in rows])[first].astype(np.int64)), 0.0)
-    begin = runs(cs[new])
-    names = cs[new][begin]
-    stats = [np.add.reduceat((total == r).astype(np.int64), begin) for r in range(1, LIMIT + 1)] + [np.add.reduceat(np.where(total > LIMIT, total, 0), begin), np.add.reduceat(lower, begin)]
-    at = 0
-    for r, h, s in zip(rows, heads, sizes, strict=True):
-        k, i = int(s.sum()), np.searchsorted(names, h)
-        yield r["chunk"], {"count": small(total[index[at : at + k]])} | {n: small(x[i]) if n != "lower" else x[i] for n, x in zip(STATS, stats, strict=True)}
-        at += k
+        return np.where(count > 0, discounted(self.d, count) / max(1, self.total + self.plus), self.unknown)
+
+
+class Order:
+    """A chunk's distinct n-grams of one order, and what is known of them so far.
+
+    context, word: of each n-gram, as places among the chunk's contexts and words; index: the n-gram of each token; low: the
+    n-gram without its first word; a, b: numbers of a context's words; total, count: in training, of contexts and n-grams.
+    """
+
+    def __init__(self, order: int, context: np.ndarray, tokens: np.ndarray, n_words: int, low: np.ndarray, train: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, number: np.ndarray, low_count: np.ndarray, hot: int, parts: int):
+        keys, first, self.index = np.unique(context * n_words + tokens, return_index=True, return_inverse=True)
+        self.order, self.context, self.word = order, keys // n_words, keys % n_words
+        self.low, self.a, self.b, self.total, self.parts = low[first], a, b, total, parts
+        self.train = np.bincount(self.index[train], minlength=len(keys))
+        self.pieces = np.maximum(1, -(-total // hot))  # of a context
+        t, x, w = total[self.context], low_count[self.low], number[self.word]
+        asked = np.flatnonzero((t > 0) & (x > 0))  # others can't have been seen
+        c, s = self.context[asked], self.pieces[self.context[asked]]
+        a, b, w = a[c], b[c], w[asked]
+        part = part_of(mixed(a, b, np.where(s > 1, mixed(w) % s.astype(np.uint64), 0)), parts)
+        order_ = np.lexsort((w, b, a, part))
+        self.asked = asked[order_]
+        self.question = {"part": part[order_], "a": a[order_], "b": b[order_], "w": w[order_], "n": self.train[self.asked], "x": x[asked][order_], "s": s[order_]}
+
+    def take(self, got: Table) -> None:
+        self.count, self.mask = np.zeros(len(self.word), np.int64), np.zeros(len(self.total), np.int64)
+        if len(self.asked):
+            self.count[self.asked] = got["n"]
+            self.mask[self.context[self.asked]] = got["mask"]
+
+    def wanted(self) -> np.ndarray:
+        """Contexts whose sums are needed: an unseen word follows, or what it loses is known in pieces only."""
+        unseen = np.zeros(len(self.total), bool)
+        unseen[self.context[(self.count == 0) & (self.total[self.context] > 0)]] = True
+        unseen |= (self.total > 0) & (self.pieces > 1)
+        return np.flatnonzero(unseen)
+
+    def evaluate(self, d: np.ndarray, sums: Table, below: np.ndarray, under: np.ndarray | float) -> np.ndarray:
+        """p of each n-gram. sums: lost and lower of the wanted contexts; below: p of the n-grams without the first word;
+        under: what `lower` is still to be divided by, for each context. Keeps what `total` grows by, as `plus`."""
+        lost, lower, want = np.full(len(self.total), np.nan), np.zeros(len(self.total)), self.wanted()
+        if len(want):
+            lost[want], lower[want] = sums["lost"], sums["lower"]
+        gains = np.where(np.isnan(lost), (self.mask & losing(d)) > 0, lost > 0)
+        self.plus = np.where(gains, 0, 1)
+        total = np.maximum(self.total + self.plus, 1)
+        weight = np.where(self.total > 0, np.where(gains, lost, 1.0) / total / (1 - lower / under), 1.0)
+        return np.where(self.count > 0, discounted(d, self.count) / total[self.context], weight[self.context] * below[self.low])
+
+
+class Loaded:
+    """A chunk, with what the answers so far say about its n-grams, up to those of order `known`."""
+
+    def __init__(self, row: dict, answers: list[dict], parts: int, hot: int = 1, known: int = 0):
+        self.ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
+        self.words, self.tokens = unpack(row["words"]), unpack(row["tokens"]).astype(np.int64)
+        self.held = np.array([held_out(i) for i in self.ids])
+        self.train = np.repeat(~self.held, self.lengths)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        by_hash = np.argsort(self.words)
+        self.question = {"part": part_of(self.words[by_hash], parts), "h": self.words[by_hash], "n": np.bincount(self.tokens[self.train], minlength=len(self.words))[by_hash]}
+        self.orders: list[Order] = []
+        if known < 1:
+            return
+        got = received(answers, "words")
+        n, end = len(self.words), int(self.tokens[-1])  # every text ends with it, and starts as often
+        self.count, self.number = np.empty(n, np.int64), np.empty(n, np.int64)
+        self.count[by_hash], self.number[by_hash] = got["n"], got["number"]
+        with_start = lambda x, at_start: np.append(x, at_start)
+        before = np.concatenate(([0], self.tokens[:-1]))
+        before[self.starts] = n
+        two = Order(2, before, self.tokens, n, self.tokens, self.train, np.zeros(n + 1, np.int64), with_start(self.number, 0), with_start(self.count, self.count[end]), self.number, self.count, hot, parts)
+        self.orders.append(two)
+        if known < 2:
+            return
+        two.take(received(answers, "bigrams"))
+        context = np.concatenate(([0], two.index[:-1]))
+        context[self.starts] = len(two.word)  # the two starts
+        three = Order(3, context, self.tokens, n, two.index, self.train, with_start(two.b[two.context], 0), with_start(self.number[two.word], 0), with_start(two.count, self.count[end]), self.number, two.count, hot, parts)
+        three.second = with_start(two.word, n)  # the contexts without their first word, as contexts of bigrams
+        self.orders.append(three)
+        if known > 2:
+            three.take(received(answers, "trigrams"))
+
+    def wanted(self, parts: int) -> tuple[Table, np.ndarray]:
+        """The question for sums, and in which order it puts the wanted contexts of both orders."""
+        each = [(x.order, x.a[w], x.b[w]) for x in self.orders for w in [x.wanted()]]
+        o, a, b = np.concatenate([np.full(len(x[1]), x[0]) for x in each]), np.concatenate([x[1] for x in each]), np.concatenate([x[2] for x in each])
+        part = part_of(mixed(a, b, np.zeros(len(a), np.int64)), parts)
+        order = np.lexsort((b, a, o, part))
+        return {"part": part[order], "o": o[order], "a": a[order], "b": b[order]}, order
+
+
+def number_words(at: int, words: Table, parts: int) -> dict[str, Table]:
+    """Counts of a part's words, and their numbers, the most frequent first."""
+    total = words["n"]
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    answer = {"n": total, "number": rank * parts + at + 1}
     of = np.bincount(np.minimum(total, LIMIT + 2), minlength=LIMIT + 3)
-    yield -1, {"totals": of[1 : LIMIT + 2].astype(np.int64)}
-    totals = np.concatenate([np.repeat(unpack(r["context_counts"]).astype(np.int64), 1) for r in rows])
-    by_name = dict(zip(np.concatenate(heads).tolist(), totals.tolist(), strict=True))
-    is_hot = np.array([by_name[x] > hot for x in names.tolist()], bool)
-    if is_hot.any():
-        yield -1, {"hot": names[is_hot]} | {n: x[is_hot] for n, x in zip(STATS, stats, strict=True)}
+    return {"answer": answer, "table": {"h": words["h"], **answer}, "totals": {"n": np.array([total.sum(), (total > 0).sum(), *of[1 : LIMIT + 2]], np.int64)}}
+
+
+def sums_of(rows: Table, lower: np.ndarray) -> Table:
+    """Of each context (a, b) of rows in its order: how many words were seen after it 1, 2, ... LIMIT times, and the sum of `lower`."""
+    begin = runs(rows["a"], rows["b"])
+    add = lambda x: np.add.reduceat(x, begin) if len(begin) else x
+    return {"a": rows["a"][begin], "b": rows["b"][begin], **{n: add((rows["n"] == r).astype(np.int64)) for r, n in enumerate(HISTOGRAM, 1)}, "lower": add(lower)}
+
+
+def count_ngrams(order: int, rows: Table, low_share) -> dict[str, Table]:  # noqa: ANN001
+    """Counts of a part's n-grams, which counts occur after their contexts, the table to keep, and the sums of contexts in pieces."""
+    n = rows["n"]
+    begin = runs(rows["a"], rows["b"])
+    mask = np.bitwise_or.reduceat(np.where((n > 0) & (n <= LIMIT), 1 << np.minimum(n, LIMIT), 0), begin)
+    seen = {k: rows[k][n > 0] for k in ("a", "b", "w", "n", "x", "s")}
+    hot = {k: v[seen["s"] > 1] for k, v in seen.items()}
+    of = np.bincount(np.minimum(n, LIMIT + 2), minlength=LIMIT + 3)
+    out = {
+        "answer": {"n": n, "mask": np.repeat(mask, np.diff(np.append(begin, len(n))))},
+        "table": {"o": np.array([order]), **seen}, "totals": {"n": of[1 : LIMIT + 2].astype(np.int64)},
+    }
+    if len(hot["n"]):
+        out["hot"] = {"o": np.array([order]), **sums_of(hot, low_share(hot["x"].astype(np.int64)))}
+    return out
 
 
-def for_driver(answers: DataFrame) -> Iterator[dict]:
-    """A few numbers for each part, and for the contexts with more than their share of tokens, of which there are HOT_SHARE for a part at most."""
-    for r in answers.where("chunk = -1").toLocalIterator():
-        yield {k: unpack(bytes(v)) for k, v in zip(r["names"], r["blobs"], strict=True)}
+def places_in(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+    """For each pair (of_a, of_b) its place among the distinct pairs (a, b), -1 if it isn't there."""
+    first, second = np.concatenate((a, of_a)).astype(np.uint64), np.concatenate((b, of_b)).astype(np.uint64)
+    order = np.lexsort((np.arange(len(first)), second, first))
+    begin = np.repeat(starts := runs(first[order], second[order]), np.diff(np.append(starts, len(order))))
+    head = order[begin]
+    out = np.empty(len(first), np.int64)
+    out[order] = np.where(head < len(a), head, -1)
+    return out[len(a) :]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     work = Workspace(docs.sparkSession, "katz")
-    chunks = Chunks(docs, work, build, TYPES, SCHEMA)
-    parts = chunks.parts
-
-    def ask_words(row: dict, _: list[dict]) -> Iterator[tuple[int, dict]]:
-        x = Loaded(row)
-        counts = np.bincount(x.tokens[x.in_training], minlength=len(x.words))
-        order, named, cuts = x.words_by_part(parts)
-        for p, i in zip(named.tolist(), np.split(order, cuts[1:]), strict=True):
-            yield p, {"words": x.words[i], "counts": small(counts[i])}
-
-    words = chunks.ask(None, ask_words, lambda part, rows: merge_words(part, rows, parts), "words")
-    totals = sum((x["totals"] for x in for_driver(words)), np.zeros(LIMIT + 3, np.int64)).tolist()
-    n_train, n_distinct, unigrams = totals[0], totals[1], Unigrams([0, *totals[2:]], totals[0])
-    hot = max(1, n_train // (HOT_SHARE * parts))
-
-    def ask_bigrams(row: dict, answers: list[dict]) -> Iterator[tuple[int, dict]]:
-        x = Loaded(row)
-        x.take_words(answers, parts)
-        x.bigrams(parts, hot, False)
-        for p, i in zip(x.named.tolist(), np.split(x.order, x.cuts[1:]), strict=True):
-            begin = runs(x.context[i])
-            heads = x.context[i][begin]
-            yield p, {
-                "contexts": small(x.context_number[heads]), "sizes": small(np.diff(np.append(begin, len(i)))), "context_counts": small(x.context_count[heads]),
-                "words": small(x.number[x.word[i]]), "counts": small(x.train[i]), "word_counts": small(x.count[x.word[i]]),
-            }
-
-    bigrams = chunks.ask(words, ask_bigrams, lambda _, rows: merge_bigrams(rows, unigrams, hot), "bigrams")
-    of, hot_names, hot_stats = np.zeros(LIMIT + 1, np.int64), [], []
-    for x in for_driver(bigrams):
-        if "totals" in x:
-            of = of + x["totals"]
-        else:
-            hot_names.append(x["hot"])
-            hot_stats.append(np.stack([x[n].astype(float) for n in STATS]))
-    names, index = np.unique(np.concatenate(hot_names), return_inverse=True) if hot_names else (np.empty(0, np.int64), None)
-    of_hot = np.stack([np.bincount(index, weights=s, minlength=len(names)) for s in np.concatenate(hot_stats, axis=1)]) if hot_names else None
-    d = discounts([0, *of.tolist()])
+    with Chunks(docs, work, build, TYPES, SCHEMA) as chunks:
+        return _score(work, chunks)
+
+
+def _score(work: Workspace, chunks: Chunks) -> DataFrame:
+    parts, ngrams = chunks.parts, added(("a", "b", "w"), ("n",))
+    total = lambda asked, size: sum((x["n"].astype(np.int64) for x in asked.totals()), np.zeros(size, np.int64)).tolist()
+    words = chunks.ask(None, lambda row, _: Loaded(row, [], parts).question, added(("h",), ("n",)), lambda at, rows, _: number_words(at, rows, parts), "words")
+    n_train, n_distinct, *of = total(words, LIMIT + 3)
+    unigrams, hot = Unigrams([0, *of], n_train), max(1, n_train // (HOT_SHARE * parts))
+
+    bigrams = chunks.ask(words.answers, lambda row, got: Loaded(row, got, parts, hot, 1).orders[0].question, ngrams, lambda _, rows, __: count_ngrams(2, rows, unigrams.p), "bigrams")
+    d2 = discounts([0, *total(bigrams, LIMIT + 1)])
+    known = words.answers.union(bigrams.answers)
+    trigrams = chunks.ask(known, lambda row, got: Loaded(row, got, parts, hot, 2).orders[1].question, ngrams, lambda _, rows, __: count_ngrams(3, rows, lambda x: discounted(d2, x)), "trigrams")
+    d3 = discounts([0, *total(trigrams, LIMIT + 1)])
+    known = known.union(trigrams.answers)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of contexts in pieces, a row each."""
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                t = unpacked(blob)
+                n = len(t["a"])
+                at = part_of(mixed(t["a"], t["b"], np.zeros(n, np.int64)), parts)
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at), "o": pa.array(np.full(n, t["o"][0], np.int64)), **{k: pa.array(t[k].astype(np.int64)) for k in ("a", "b", *HISTOGRAM)}, "lower": pa.array(t["lower"].astype(np.float64))})
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        t = {k: rows.column(k).to_numpy() for k in ("o", "a", "b", *HISTOGRAM, "lower")}
+        return pa.table({"at": pa.array([rows.column("at")[0].as_py()], pa.int64()), "blob": pa.array([packed(t)], pa.binary())})
+
+    names = ", ".join(f"{x} long" for x in ("at", "o", "a", "b", *HISTOGRAM))
+    hot_sums = map_batches(bigrams.kept("hot").union(trigrams.kept("hot")), each, f"{names}, lower double").groupBy("at", "o", "a", "b").agg(*(F.sum(x).alias(x) for x in (*HISTOGRAM, "lower")))
+    stored = bigrams.kept("table").union(trigrams.kept("table")).union(hot_sums.groupBy("at").applyInArrow(gathered, "at long, blob binary"))
+
+    def sums(_: int, asked: Table, have: list[Table]) -> dict[str, Table]:
+        answer = {"lost": np.zeros(len(asked["o"])), "lower": np.zeros(len(asked["o"]))}
+        for order, d, share in ((2, d2, unigrams.p), (3, d3, lambda x: discounted(d2, x))):
+            mine = np.flatnonzero(asked["o"] == order)
+            for t in have:
+                if "s" in t and t["o"][0] == order:
+                    whole = {k: v[t["s"] == 1] for k, v in t.items() if k != "o"}
+                    s = sums_of(whole, share(whole["x"].astype(np.int64)))
+                elif "s" not in t:
+                    s = {k: v[t["o"] == order] for k, v in t.items()}
+                else:
+                    continue
+                at = places_in(s["a"], s["b"], asked["a"][mine], asked["b"][mine])
+                found, at = mine[at >= 0], at[at >= 0]
+                answer["lost"][found] = sum(((1 - d[r]) * r * s[HISTOGRAM[r - 1]][at] for r in range(1, len(d))), np.zeros(len(at)))
+                answer["lower"][found] = s["lower"][at]
+        return {"answer": answer}
+
+    weights = chunks.ask(known, lambda row, got: Loaded(row, got, parts, hot, 3).wanted(parts)[0], added(("o", "a", "b"), ()), sums, "weights", stored)
+    known = known.union(weights.answers)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         row, answers = left.to_pylist()[0], right.to_pylist()
-        x = Loaded(row)
-        x.take_words(answers, parts)
-        x.bigrams(parts, hot, True)
-        got = answers_of(answers, "bigrams")
-        count = np.empty(len(x.order), np.int64)
-        stats = np.zeros((len(STATS), len(x.words) + 1))
-        for p, i in zip(x.named.tolist(), np.split(x.order, x.cuts[1:]), strict=True):
-            count[i] = unpack(got[p]["count"])
-            heads = x.context[i][runs(x.context[i])]
-            for k, n in enumerate(STATS):
-                stats[k, heads] = unpack(got[p][n])
-        if len(names):
-            at = np.minimum(np.searchsorted(names, x.context_number), len(names) - 1)
-            known = names[at] == x.context_number
-            stats[:, known] = of_hot[:, at[known]]
-        total = x.context_count.astype(float)
-        lost = sum((1 - d[r]) * r * stats[r - 1] for r in range(1, len(d)))
-        lost = lost if isinstance(lost, np.ndarray) else np.zeros(len(total))
-        plus = np.where(lost > 0, 0.0, 1.0)
-        left_over = np.where(total > 0, np.where(lost > 0, lost, 1.0) / np.maximum(total + plus, 1), 1.0)
-        weight = np.log10(left_over / (1 - stats[-1]))
-        p1 = np.log10(unigrams.p(x.count))
-        rate = np.where(count < len(d), d[np.minimum(count, len(d) - 1)], 1.0)
-        seen = np.log10(np.maximum(rate * count, 1e-300) / np.maximum(total + plus, 1)[x.context])
-        log_p = np.where(count > 0, seen, weight[x.context] + p1[x.word])
+        x = Loaded(row, answers, parts, hot, 3)
+        two, three = x.orders
+        question, order = x.wanted(parts)
+        got = received(answers, "weights")
+        back = {k: np.empty(len(order)) for k in ("lost", "lower")}
+        for k in back:
+            if len(order):
+                back[k][order] = got[k]
+        cut = len(two.wanted())
+        p = two.evaluate(d2, {k: v[:cut] for k, v in back.items()}, unigrams.p(x.count), 1.0)
+        under = np.maximum(two.total + two.plus, 1)[three.second]
+        log_p = np.log10(three.evaluate(d3, {k: v[cut:] for k, v in back.items()}, p, under))
         base = np.log10((x.count + 0.5) / (n_train + 0.5 * (n_distinct + 1)))
         summed = lambda v: np.add.reduceat(v, x.starts)
         return pa.table({
             "doc_id": pa.array(x.ids, pa.int64()), "held_out": pa.array(x.held), "n_tokens": pa.array(x.lengths), "n_known": pa.array(summed((x.count > 0).astype(np.int64)[x.tokens])),
-            "train_tokens": pa.array(np.full(len(x.ids), n_train, np.int64)), "base_score": pa.array(summed(base[x.tokens])), "score": pa.array(summed(log_p[x.index])),
+            "train_tokens": pa.array(np.full(len(x.ids), n_train, np.int64)), "base_score": pa.array(summed(base[x.tokens])), "score": pa.array(summed(log_p[three.index])),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = work.write(chunks.with_answers(words.unionByName(bigrams), evaluate, schema), "scores")
-    chunks.drop()
-    work.drop("words", "bigrams")
+    out = work.write(chunks.with_answers(known, evaluate, schema), "scores")
+    work.drop("words", "bigrams", "trigrams", "weights")
     return out

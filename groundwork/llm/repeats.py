@@ -8,8 +8,8 @@ window is in one shard, whose arrays are built from batches of whole anchors, so
 
 An anchor with more than HOT distinct windows (a passage in very many places) is refined first: its starts are dealt into
 classes by their distance to the anchor, and windows meet by all the bytes that the starts of a class have in common, in
-classes of 48, 12, 4 and at last 1 starts, where the key is the string itself and its count decides. No start is dropped
-on the way, and no key's windows are collected beyond HOT.
+classes of 48, 12, 4 and at last 1 starts, where the key is the string itself and whatever has a key twice is compared
+byte by byte. No start is dropped on the way; hashes decide what is compared, bytes decide what is a repeat.
 
 Style: packed arrays between chunks and shards (`exchange`); texts are written once and never shuffled, only windows are.
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import Workspace
-from groundwork.llm.exchange import Chunks, answers_of, grouped, mixed, pack, part_of, small, unpack
+from groundwork.llm.exchange import Chunks, Table, added, mixed, objects, pack, part_of, received, runs, small, unpack
 from groundwork.llm.sais import permuted_lcp, suffix_array
 
 LENGTH, GRAM, HOT = 200, 32, 4096
@@ -135,81 +135,81 @@ class Items:
         return sorted_keys[begin], order, begin
 
 
-def dealt(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """(part, indices of its keys), parts in order."""
-    part = part_of(mixed(keys), parts)
-    by, named, cuts = grouped(order := np.argsort(part, kind="stable"), part[order])
-    return list(zip(named.tolist(), np.split(by, cuts[1:]), strict=True)) if len(keys) else []
-
-
 class Loaded:
-    """A chunk, with what the answers so far say about its windows: to be compared (in levels), known as repeats, or to be refined."""
+    """A chunk, with what the answers so far say about its windows: to be compared (in levels), or still to be asked about."""
 
     def __init__(self, row: dict, answers: list[dict], parts: int):
         self.ids, self.lengths, self.data = row["doc_ids"], row["lengths"], row["data"]
-        items = Items(unpack(row["keys"]), np.cumsum(unpack(row["steps"]).astype(np.int64)), unpack(row["many"]), unpack(row["offs"]))
+        self.parts = parts
+        self.open = Items(unpack(row["keys"]), np.cumsum(unpack(row["steps"]).astype(np.int64)), unpack(row["many"]), unpack(row["offs"]))
         self.compare: list[Items] = []
-        self.repeats: list[Items] = []
-        kinds, level = {r["kind"] for r in answers}, 0
-        while f"level-{level}" in kinds:
-            keys, order, begin = items.by_key()
-            said, got = np.empty(len(keys), np.uint8), answers_of(answers, f"level-{level}")
-            for p, i in dealt(keys, parts):
-                said[i] = unpack(got[p]["said"])
-            state = np.empty(len(items.key), np.uint8)
+        names, level = {r["name"] for r in answers}, 0
+        while f"level-{level}" in names and len(self.open.key):
+            keys, order, begin, sent = self.keys()
+            said = np.empty(len(keys), np.uint8)
+            said[sent] = received(answers, f"level-{level}")["said"]
+            state = np.empty(len(order), np.uint8)
             state[order] = np.repeat(said, np.diff(np.append(begin, len(order))))
-            if CLASSES[level] == 1:
-                self.repeats.append(items.take(state != ONCE))
-                items = items.take(np.empty(0, np.int64))
-            else:
-                self.compare.append(items.take(state == SOME))
-                items = items.take(state == MANY).finer(self.data, CLASSES[level + 1])
+            # where a key is the string itself there is nothing finer: whatever occurs twice is compared, byte by byte
+            last = CLASSES[level] == 1
+            self.compare.append(self.open.take(state != ONCE if last else state == SOME))
+            again = self.open.take(state == MANY)
+            self.open = again.take(np.empty(0, np.int64)) if last else again.finer(self.data, CLASSES[level + 1])
             level += 1
-        self.open = items
 
-    def to_compare(self, parts: int) -> tuple[list[tuple[int, list[int]]], list[tuple[Items, int, int]]]:
-        """Windows in groups of equal key, distance and text, (items, index, times) for one of each, by part; and for each group all its members."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of the open windows, the order of the windows by key, where each key begins in it, and the order in which keys are sent."""
+        keys, order, begin = self.open.by_key()
+        return keys, order, begin, np.lexsort((keys, part_of(mixed(keys), self.parts)))
+
+    def level_question(self) -> Table:
+        keys, order, begin, sent = self.keys()
+        occurs = np.diff(np.append(begin, len(order)))
+        windows = np.ones(len(begin), np.int64)
+        for g in np.flatnonzero(occurs > 1).tolist():
+            windows[g] = len({(self.open.off[i], self.open.text(self.data, i)) for i in order[begin[g] : begin[g] + occurs[g]].tolist()})
+        return {"part": part_of(mixed(keys), self.parts)[sent], "key": keys[sent], "n": np.minimum(occurs, 2)[sent], "x": windows[sent]}
+
+    def to_compare(self) -> list[list[tuple[Items, int]]]:
+        """Windows in groups of equal key, distance and text, (items, index) of their members, in the order in which they are sent."""
         groups: dict[tuple, list[tuple[Items, int]]] = {}
         for level, items in enumerate(self.compare):
             for i, (key, off) in enumerate(zip(items.key.tolist(), items.off.tolist(), strict=True)):
                 groups.setdefault((level, key, off, items.text(self.data, i)), []).append((items, i))
         members = list(groups.values())
-        keys = np.array([k[1] for k in groups], np.uint64)
-        return [(p, i.tolist()) for p, i in dealt(keys, parts)], members
+        order = np.argsort(part_of(mixed(np.array([k[1] for k in groups], np.uint64)), self.parts), kind="stable")
+        return [members[g] for g in order.tolist()]
+
+    def windows_question(self) -> Table:
+        groups = self.to_compare()
+        one = [g[0] for g in groups]
+        of = lambda name, kind: np.array([getattr(items, name)[i] for items, i in one], kind)
+        key = of("key", np.uint64)
+        return {
+            "part": part_of(mixed(key), self.parts), "key": key, "many": of("many", np.int64), "off": of("off", np.int64), "times": np.array([min(2, len(g)) for g in groups], np.int64),
+            "text": objects([items.text(self.data, i) for items, i in one]),
+        }
 
 
-def ask_level(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[int, dict]]:
-    x = Loaded(row, answers, parts)
-    keys, order, begin = x.open.by_key()
-    occurs = np.diff(np.append(begin, len(order)))
-    windows = np.ones(len(begin), np.int64)
-    for g in np.flatnonzero(occurs > 1).tolist():
-        windows[g] = len({(x.open.off[i], x.open.text(x.data, i)) for i in order[begin[g] : begin[g] + occurs[g]].tolist()})
-    for p, i in dealt(keys, parts):
-        yield p, {"keys": keys[i], "occurs": small(np.minimum(occurs[i], 2)), "windows": small(windows[i])}
-
-
-def merge_level(rows: list[dict], hot: int) -> Iterator[tuple[int, dict]]:
-    keys = [unpack(r["keys"]) for r in rows]
-    distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-    total = lambda name: np.bincount(index, weights=np.concatenate([unpack(r[name]) for r in rows]), minlength=len(distinct))
-    said = np.where(total("occurs") < 2, ONCE, np.where(total("windows") > hot, MANY, SOME)).astype(np.uint8)
-    at = 0
-    for r, k in zip(rows, keys, strict=True):
-        yield r["chunk"], {"said": said[index[at : at + len(k)]]}
-        at += len(k)
-    yield -1, {"many": np.array([(said == MANY).sum()], np.int64)}
+def said_of(rows: Table, hot: int) -> dict[str, Table]:
+    """Whether a key occurs once, with some windows, or with too many to be compared at this level."""
+    said = np.where(rows["n"] < 2, ONCE, np.where(rows["x"] > hot, MANY, SOME)).astype(np.uint8)
+    return {"answer": {"said": said}, "totals": {"many": np.array([(said == MANY).sum()], np.int64)}}
 
 
-def ask_windows(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[int, dict]]:
-    x = Loaded(row, answers, parts)
-    where, members = x.to_compare(parts)
-    for p, groups in where:
-        one = [members[g][0] for g in groups]
-        yield p, {
-            "keys": np.array([items.key[i] for items, i in one], np.uint64), "many": small(np.array([items.many[i] for items, i in one])), "offs": small(np.array([items.off[i] for items, i in one])),
-            "times": small(np.array([min(2, len(members[g])) for g in groups])), "text": np.frombuffer(b"".join([items.text(x.data, i) for items, i in one]), np.uint8),
-        }
+def merge_windows(tables: list[Table]) -> tuple[Table, list[np.ndarray]]:
+    """Windows of equal key, distance and text become one, which occurs as often as all of them."""
+    place: dict[tuple, int] = {}
+    index = [np.array([place.setdefault(k, len(place)) for k in zip(t["key"].tolist(), t["off"].tolist(), t["text"].tolist(), strict=True)], np.int64) for t in tables]
+    every = np.concatenate(index)
+    first = np.empty(len(place), np.int64)
+    first[every[::-1]] = np.arange(len(every))[::-1]
+    columns = {k: np.concatenate([t[k] for t in tables]) for k in tables[0]}
+    order = np.argsort(columns["part"][first], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    times = np.bincount(every, weights=columns["times"], minlength=len(place)).astype(np.int64)
+    return {k: times[order] if k == "times" else v[first[order]] for k, v in columns.items()}, [rank[i] for i in index]
 
 
 def repeated_starts(windows: list[bytes]) -> list[np.ndarray]:
@@ -239,42 +239,33 @@ def repeated_starts(windows: list[bytes]) -> list[np.ndarray]:
     return [hit[b : b + n - LENGTH] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
-def merge_windows(rows: list[dict]) -> Iterator[tuple[int, dict]]:
-    """Which starts of the windows are repeats, for each chunk in its order, as bits."""
-    times: dict[tuple, int] = {}
-    asked: list[list[tuple]] = []
-    for r in rows:
-        own, at, text = [], 0, unpack(r["text"]).tobytes()
-        for key, many, off, n in zip(*(unpack(r[k]).tolist() for k in ("keys", "many", "offs", "times")), strict=True):
-            w = (key, off, text[at : at + many + LENGTH - 1])
-            times[w] = times.get(w, 0) + n
-            own.append(w)
-            at += many + LENGTH - 1
-        asked.append(own)
-    by_key: dict[int, list[tuple]] = {}
-    for w in times:
-        by_key.setdefault(w[0], []).append(w)
-    found: dict[tuple, np.ndarray] = {}
-    batch, held = [], 0
+def repeats_in(rows: Table) -> dict[str, Table]:
+    """Which starts of the windows are repeats, as bits."""
+    texts, times = rows["text"].tolist(), rows["times"]
+    found: list[np.ndarray | None] = [None] * len(texts)
+    batch: list[int] = []
+    held = 0
 
     def close() -> None:
-        if batch:
-            found.update(zip(batch, repeated_starts([w[2] for w in batch]), strict=True))
-            batch.clear()
-
-    for same in by_key.values():
-        if len(same) > 1:
-            batch += same
-            held += sum(len(w[2]) + 1 for w in same)
+        for i, hits in zip(batch, repeated_starts([texts[i] for i in batch]) if batch else [], strict=True):
+            found[i] = hits
+        batch.clear()
+
+    order = np.argsort(rows["key"], kind="stable")
+    keys = rows["key"][order]
+    begin = runs(keys).tolist()
+    for a, b in zip(begin, [*begin[1:], len(keys)][: len(begin)], strict=True):
+        if b - a > 1:  # else all its windows are one text
+            batch += order[a:b].tolist()
+            held += sum(len(texts[i]) + 1 for i in batch[a - b :])
             if held >= ARRAY_BYTES:
                 close()
                 held = 0
     close()
-    for w, n in times.items():
-        if n > 1 or w not in found:
-            found[w] = np.full(len(w[2]) - LENGTH + 1, n > 1)
-    for r, own in zip(rows, asked, strict=True):
-        yield r["chunk"], {"bits": np.packbits(np.concatenate([found[w] for w in own]))}
+    for i, n in enumerate(times.tolist()):
+        if n > 1 or found[i] is None:
+            found[i] = np.full(len(texts[i]) - LENGTH + 1, n > 1)
+    return {"answer": {"bits": objects([np.packbits(x).tobytes() for x in found])}}
 
 
 def removed(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[int | None, bytes, list[tuple[int, int]]]]:
@@ -291,18 +282,12 @@ def removed(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[int |
             np.add.at(edges, start + np.flatnonzero(step > 0), 1)
             np.add.at(edges, start + np.flatnonzero(step < 0) - 1 + LENGTH, -1)
 
-    where, members = x.to_compare(parts)
-    got = answers_of(answers, "windows")
-    for p, groups in where:
-        bits, at = np.unpackbits(unpack(got[p]["bits"])).astype(bool), 0
-        for g in groups:
-            many = int(members[g][0][0].many[members[g][0][1]])
-            for items, i in members[g]:
-                mark(int(items.start[i]), bits[at : at + many])
-            at += many
-    for items in x.repeats:
-        for s, m in zip(items.start.tolist(), items.many.tolist(), strict=True):
-            mark(s, np.ones(m, bool))
+    bits = received(answers, "windows").get("bits", [])
+    for group, own in zip(x.to_compare(), bits, strict=True):
+        many = int(group[0][0].many[group[0][1]])
+        hits = np.unpackbits(np.frombuffer(own, np.uint8))[:many].astype(bool)
+        for items, i in group:
+            mark(int(items.start[i]), hits)
     covered = np.cumsum(edges, dtype=np.int32) > 0
     at = 0
     for i, n in zip(x.ids, x.lengths, strict=True):
@@ -318,16 +303,18 @@ def removed(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[int |
 def find(docs: DataFrame, hot: int = HOT, with_spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the removed spans in bytes."""
     work = Workspace(docs.sparkSession, "repeats")
-    chunks = Chunks(docs, work, build, TYPES, SCHEMA)
-    parts = chunks.parts
-    answers = None
+    with Chunks(docs, work, build, TYPES, SCHEMA) as chunks:
+        return _find(work, chunks, hot, with_spans)
+
+
+def _find(work: Workspace, chunks: Chunks, hot: int, with_spans: bool) -> DataFrame:
+    parts, answers = chunks.parts, None
     for level in range(len(CLASSES)):
-        said = chunks.ask(answers, lambda row, got: ask_level(row, got, parts), lambda _, rows: merge_level(rows, hot), f"level-{level}")
-        answers = said if answers is None else answers.unionByName(said)
-        # a number for each part
-        if not sum(int(unpack(bytes(r["blobs"][0]))[0]) for r in said.where("chunk = -1").toLocalIterator()):
+        asked = chunks.ask(answers, lambda row, got: Loaded(row, got, parts).level_question(), added(("key",), ("n", "x")), lambda _, rows, __: said_of(rows, hot), f"level-{level}")
+        answers = asked.answers if answers is None else answers.union(asked.answers)
+        if not sum(int(x["many"][0]) for x in asked.totals()):
             break
-    windows = chunks.ask(answers, lambda row, got: ask_windows(row, got, parts), lambda _, rows: merge_windows(rows), "windows")
+    answers = answers.union(chunks.ask(answers, lambda row, got: Loaded(row, got, parts).windows_question(), merge_windows, lambda _, rows, __: repeats_in(rows), "windows").answers)
 
     def digest(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
@@ -342,7 +329,6 @@ def find(docs: DataFrame, hot: int = HOT, with_spans: bool = False) -> DataFrame
         return pa.table({k: pa.array(v, types[k]) for k, v in out.items() if k != "spans" or with_spans})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, end: long>>" * with_spans
-    out = work.write(chunks.with_answers(answers.unionByName(windows), digest, schema), "result")
-    chunks.drop()
+    out = work.write(chunks.with_answers(answers, digest, schema), "result")
     work.drop("windows", *(f"level-{i}" for i in range(len(CLASSES))))
     return out

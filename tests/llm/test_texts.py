@@ -153,48 +153,100 @@ def test_simhash_one_of_each(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def good_turing(counts):
+    """d of each count of these n-grams: of an independent form of the rule, r* / r after the mass of counts above the limit is taken out."""
+    n = Counter(counts)
+    for k in (5, 4, 3, 2, 1):
+        if any(n[r] == 0 for r in range(1, k + 1)):
+            continue
+        top = (k + 1) * n[k + 1] / n[1]
+        if top >= 1:
+            continue
+        d = {r: ((r + 1) * n[r + 1] / n[r] / r - top) / (1 - top) for r in range(1, k + 1)}
+        if all(0 < x <= 1 for x in d.values()) and min(d.values()) < 1:
+            return d
+    return {}
+
+
+class BruteKatz:
+    """p(word | history) by the definition, from whole dictionaries of counts."""
+
+    def __init__(self, texts):
+        self.counts = {o: Counter() for o in (1, 2, 3)}
+        for x in texts:
+            padded = ["^", "^", *x]
+            for i in range(2, len(padded)):
+                for o in (1, 2, 3):
+                    self.counts[o][tuple(padded[i - o + 1 : i + 1])] += 1
+        self.d = {o: good_turing(c.values()) for o, c in self.counts.items()}
+        self.after = {o: defaultdict(dict) for o in (1, 2, 3)}
+        for o, c in self.counts.items():
+            for g, n in c.items():
+                self.after[o][g[:-1]][g[-1]] = n
+        self.known, self.weights = set(self.after[1][()]), {}
+
+    def left(self, history):
+        """What a history has for words not seen after it, and by what its counts are divided."""
+        seen, d = self.after[len(history) + 1].get(history), self.d[len(history) + 1]
+        if not seen:
+            return 1.0, 1
+        total = sum(seen.values())
+        lost = sum((1 - d.get(n, 1.0)) * n for n in seen.values())
+        return (lost / total, total) if lost > 0 else (1 / (total + 1), total + 1)
+
+    def p(self, word, history):
+        o = len(history) + 1
+        seen, (left, total) = self.after[o].get(history, {}), self.left(history)
+        if word in seen:
+            return self.d[o].get(seen[word], 1.0) * seen[word] / total
+        if o == 1:
+            return left  # the one unknown word
+        if history not in self.weights:
+            self.weights[history] = left / (1 - sum(self.p(w, history[1:]) for w in seen))
+        return self.weights[history] * self.p(word, history[1:])
+
+
 def brute_katz(rows):
     tok = lambda t: [*re.findall(WORD, lower(t or "")), "\n"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    tr = [tok(t) for i, t in rows if not held(i)]
-    uni, bi = Counter(w for x in tr for w in x), Counter(z for x in tr for z in zip(["^", *x], x, strict=False))
-    n, v, ctx, foll = sum(uni.values()), len(uni), Counter(), defaultdict(list)
-    for (h, w), c in bi.items():
-        ctx[h] += c
-        foll[h].append((w, c))
-    of = lambda counts: [0, *(sum(c == r for c in counts.values()) for r in range(1, 7))]
-    db, one = katz.discounts(of(bi)), katz.Unigrams(of(uni), n)
-    p1 = lambda w: float(one.p(np.array([uni[w]]))[0])
-    assert math.isclose(sum(map(p1, uni)) + one.unknown, 1)
-    d = lambda c: db[c] if c < len(db) else 1.0
-    weight, plus = {}, {}
-    for h, f in foll.items():
-        lost = sum((1 - d(c)) * c for _, c in f)
-        plus[h] = 0 if lost > 0 else 1
-        weight[h] = ((lost if lost > 0 else 1) / (ctx[h] + plus[h])) / (1 - sum(p1(w) for w, _ in f))
-    p = lambda h, w: d(bi[h, w]) * bi[h, w] / (ctx[h] + plus[h]) if bi[h, w] else weight.get(h, 1.0) * p1(w)
-    for h in list(foll)[:20]:
-        assert math.isclose(sum(p(h, w) for w in uni) + weight[h] * one.unknown, 1)
+    model = BruteKatz([tok(t) for i, t in rows if not held(i)])
+    uni = Counter({w: n for (w,), n in model.counts[1].items()})
+    n, v = sum(uni.values()), len(uni)
+    for o in (1, 2, 3):  # every history's probabilities sum to one
+        for h in sorted(model.after[o])[:25] + [("no", "such")[: o - 1]]:
+            assert math.isclose(sum(model.p(w, h) for w in model.known) + model.p(None, h), 1)
     for i, t in rows:
         x = tok(t)
-        yield i, held(i), len(x), sum(uni[w] > 0 for w in x), n, sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), sum(math.log10(p(h, w)) for h, w in zip(["^", *x], x, strict=False))
+        padded = ["^", "^", *x]
+        score = sum(math.log10(model.p(padded[k], (padded[k - 2], padded[k - 1]))) for k in range(2, len(padded)))
+        yield i, held(i), len(x), sum(uni[w] > 0 for w in x), n, sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), score
 
 
 @pytest.fixture
 def small_chunks(monkeypatch):
-    monkeypatch.setattr(exchange.Chunks.__init__, "__defaults__", (20_000,))
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 20_000)
 
 
-def test_katz(spark, small_chunks):
+@pytest.mark.parametrize(("fan", "share"), [(exchange.FAN, katz.HOT_SHARE), (2, 200)])
+def test_katz(spark, monkeypatch, small_chunks, fan, share):
+    """fan 2: answers come over several relays; share 200: most contexts are in pieces."""
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(katz, "HOT_SHARE", share)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
-    many = [(i, " ".join(rng.choice(words[: 2 + rng.randrange(58)]) for _ in range(rng.randint(0, 300)))) for i in range(80)]
-    for rows in (many + [(500, None), (None, "a A"), (3, "x y"), (3, "x y")], [(5, "q r s")], []):
+    many = [(i, " ".join(rng.choice(words[: 2 + rng.randrange(58)]) for _ in range(rng.randint(0, 300)))) for i in range(200)]
+    cases = (many + [(500, None), (None, "a A"), (3, "x y"), (3, "x y"), (501, "new words only")], [(5, "q r s")], [(0, "h e l d")], [])
+    for rows in cases if fan > 2 else cases[:1]:
         got = sorted((tuple(r) for r in katz.score(docs(spark, rows)).collect()), key=lambda r: (str(r[0]), r[2:]))
         want = sorted(brute_katz(rows), key=lambda r: (str(r[0]), r[2:])) if rows else []
         assert len(got) == len(want)
         for g, w in zip(got, want, strict=True):
             assert g[:5] == w[:5] and math.isclose(g[5], w[5], abs_tol=1e-6) and math.isclose(g[6], w[6], abs_tol=1e-6)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("groundwork_chunks")]
+
+
+def test_exchange_hops():
+    assert [exchange.spans_of(n) for n in (1, 64, 65, 4096, 4097, 10**6)] == [[1], [1], [2, 1], [64, 1], [65, 2, 1], [15625, 245, 4, 1]]
 
 
 @pytest.mark.parametrize("alphabet", [0, 1024])
