@@ -63,6 +63,10 @@ TASK = (
     "Explain why this variant carries the classification shown above.\nWrite 4-8 sentences of continuous prose. Each sentence should make one checkable "
     "statement about this variant, its gene, or the associated condition. Do not restate the classification itself."
 )
+PROMPT = (
+    "VARIANT\nGene: {gene}\nHGVS: {name}\ndbSNP: {rsid}\nGenomic position (GRCh38): chr{chrom}:{pos} {ref}>{alt}\nReported condition(s): {conditions}"
+    "\n\nCLASSIFICATION\n{label}\n\nEVIDENCE\n{evidence}\n\nTASK\n{task}"
+)
 NO_EVIDENCE = "(none provided)"
 LABEL_TEXTS = {"pathogenic": "Pathogenic / Likely pathogenic", "benign": "Benign / Likely benign"}
 # The offline generator.
