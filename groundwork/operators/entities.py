@@ -13,8 +13,8 @@ ANNOTATION = "struct<text: string, infons: struct<type: string, name: string, id
 DOCUMENT = f"struct<pmid: string, id: string, date: string, journal: string, passages: array<struct<infons: struct<type: string, year: string>, text: string, annotations: array<{ANNOTATION}>>>>"
 
 
-def documents(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """payload_no, doc_no, doc: the documents of payloads of any of the shapes: under a wrapper's key, a bare list, one object, or lines of these."""
+def documents(payloads: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+    """payload_no (or the columns of `keep`), doc_no, doc: the documents of payloads of any of the shapes: under a wrapper's key, a bare list, one object, or lines of these."""
     wrapped = f"struct<{', '.join(f'{w}: array<{DOCUMENT}>' for w in fixed.WRAPPERS)}>"
 
     def unwrap(c: Column) -> Column:
@@ -24,15 +24,18 @@ def documents(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     # lines of JSON begin with a line that is JSON by itself; one value over several lines doesn't
     each = F.filter(F.transform(F.split("p", r"\r\n|\r|\n"), trim), lambda x: x != "")
     parts = F.when(F.try_parse_json(F.element_at(each, 1)).isNotNull(), each).otherwise(F.array("p"))
-    rows = payloads.select(F.monotonically_increasing_id().alias("payload_no"), trim(payload).alias("p")).where("p <> ''")
-    docs = rows.select("payload_no", F.posexplode(F.flatten(F.transform(parts, unwrap))).alias("doc_no", "doc"))
+    keep = keep or ["payload_no"]
+    rows = payloads if "payload_no" in payloads.columns else payloads.withColumn("payload_no", F.monotonically_increasing_id())
+    rows = rows.select(*keep, trim(payload).alias("p")).where("p <> ''")
+    docs = rows.select(*keep, F.posexplode(F.flatten(F.transform(parts, unwrap))).alias("doc_no", "doc"))
     return docs.where("doc is not null")
 
 
-def passages(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """A row for each passage with text. `order` counts blank passages too; annotation lists are sorted and distinct."""
+def passages(docs: DataFrame, doc: str = "doc", keep: list[str] | None = None) -> DataFrame:
+    """A row for each passage with text, beside the columns of `keep`. `order` counts blank passages too; annotation lists are sorted and distinct."""
     d = F.col(doc)
-    base = docs.select(F.coalesce(F.nullif(d["pmid"], F.lit("")), F.nullif(d["id"], F.lit("")), F.lit("")).alias("pmid"), d["journal"].alias("journal"), year(d["date"]).alias("doc_year"), F.posexplode(d["passages"]).alias("order", "p"))
+    keep = keep or []
+    base = docs.select(*keep, F.coalesce(F.nullif(d["pmid"], F.lit("")), F.nullif(d["id"], F.lit("")), F.lit("")).alias("pmid"), d["journal"].alias("journal"), year(d["date"]).alias("doc_year"), F.posexplode(d["passages"]).alias("order", "p"))
     notes = F.coalesce(F.col("p.annotations"), F.array().cast(f"array<{ANNOTATION}>"))
     kind = lambda *names: F.filter(notes, lambda a: F.lower(F.coalesce(a["infons"]["type"], F.lit(""))).isin(*names))
     named = lambda xs: F.transform(xs, lambda a: F.coalesce(F.nullif(a["infons"]["name"], F.lit("")), trim(a["text"])))
@@ -46,7 +49,7 @@ def passages(docs: DataFrame, doc: str = "doc") -> DataFrame:
         "rsids": tidy(rs), "hgvs": tidy(F.transform(variants, lambda a: a["infons"]["hgvs"])), "diseases": tidy(named(kind("disease"))),
     })
     out = out.where("text is not null and text <> ''").withColumn("passage_id", passage_id(F.col("pmid"), F.col("section"), F.col("order")))
-    return out.select("passage_id", "pmid", "section", "text", "order", "year", "journal", "genes", "gene_ids", "rsids", "hgvs", "diseases")
+    return out.select(*keep, "passage_id", "pmid", "section", "text", "order", "year", "journal", "genes", "gene_ids", "rsids", "hgvs", "diseases")
 
 
 def evidence_level(gene: Column, rsid: Column, gene_id: Column | None = None, hgvs: Column | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -34,17 +35,33 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_pools(spark: SparkSession, path: str) -> DataFrame:
     """Pools by id; of repeated ids the last line counts."""
-    rows = spark.read.schema(POOLS).json(path).withColumn("line", F.monotonically_increasing_id())
+    rows = spark.read.schema(POOLS).json(path).withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
     return first_wins(rows, ["variation_id"], [F.desc("line")]).drop("line")
 
 
-def merge_cache(df: DataFrame, path: str, key: str = "key") -> None:
-    """Writes cached rows so that only the keys in df are overwritten."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def append_cache(rows: DataFrame, keys: DataFrame, path: str) -> None:
+    """Adds rows (with `key`) to a cache: files for all keys together, and a list of the keys, also of those without rows.
+    A key that is there already isn't added again, so a job that runs twice leaves one copy."""
+    spark = rows.sparkSession
+    new = keys.join(cached_keys(spark, path), "key", "left_anti")
+    rows.join(new, "key", "left_semi").write.mode("append").parquet(f"{path}/rows")
+    new.write.mode("append").parquet(f"{path}/keys")
 
 
-def read_cache(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
-    return spark.read.schema(f"{schema}, {key} string").parquet(path)
+def cached_keys(spark: SparkSession, path: str) -> DataFrame:
+    return _read_if_there(spark, f"{path}/keys", "key string").distinct()
+
+
+def read_cached(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The cached rows of all listed keys."""
+    return _read_if_there(spark, f"{path}/rows", f"key string, {schema}").join(cached_keys(spark, path), "key", "left_semi")
+
+
+def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
 
 
 def write_markdown(lines: list[str], path: str) -> str:
@@ -54,6 +71,17 @@ def write_markdown(lines: list[str], path: str) -> str:
     return text
 
 
+def sections(path: str) -> dict:
+    """A configuration file's sections: JSON or, where a parser is installed, YAML."""
+    text = Path(path).read_text(encoding="utf-8")
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml  # optional
+
+        return yaml.safe_load(text)
+
+
 @dataclass(frozen=True)
 class Config:
     """A pipeline's settings; sections are read from YAML where a parser is installed, or given as dicts."""
@@ -89,6 +117,4 @@ class Config:
 
     @classmethod
     def read(cls, path: str) -> Config:
-        import yaml  # optional
-
-        return cls.of(yaml.safe_load(Path(path).read_text()))
+        return cls.of(sections(path))

@@ -1,6 +1,7 @@
 """Delimited dumps: two tab-separated formats that differ in quoting, and an ordinal for their file order.
 
-A gzip file is one split, so its rows are dealt out anew as soon as they are numbered.
+The ordinal is the file order within one dump file. A gzip file is one split, so with `parts` its rows are dealt out anew as
+soon as they are numbered.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ def strings(names: Iterable[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def read_records(spark: SparkSession, path: str, required: tuple[str, ...] = fixed.RECORD_COLUMNS, ordinal: str = "ordinal") -> DataFrame:
+def read_records(spark: SparkSession, path: str, required: tuple[str, ...] = fixed.RECORD_COLUMNS, ordinal: str = "ordinal", parts: int | None = None) -> DataFrame:
     """All columns as strings, selected by name (an error names what is missing), null tokens as nulls, file order as `ordinal`."""
     raw = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', encoding="UTF-8")
     if missing := [c for c in required if c not in raw.columns]:
         raise MissingColumns(f"missing columns: {missing}")
-    return raw.select(F.monotonically_increasing_id().alias(ordinal), *(nulls(F.col(f"`{c}`")).alias(c) for c in required))
+    rows = raw.select(F.monotonically_increasing_id().alias(ordinal), *(nulls(F.col(f"`{c}`")).alias(c) for c in required))
+    return rows.repartition(parts) if parts else rows
 
 
 def comment_columns(spark: SparkSession, path: str, header: str = fixed.COMMENT_HEADER) -> list[str]:
@@ -52,10 +54,11 @@ def comment_columns(spark: SparkSession, path: str, header: str = fixed.COMMENT_
     return line[0].lstrip("#").split("\t")
 
 
-def read_comments(spark: SparkSession, path: str, ids: DataFrame | None = None, least: int = 100, ordinal: str = "ordinal") -> DataFrame:
+def read_comments(spark: SparkSession, path: str, ids: DataFrame | None = None, least: int = 100, ordinal: str = "ordinal", parts: int | None = None) -> DataFrame:
     """Usable comments, of the given ids (column VariationID) if any: no quoting, comment lines and header skipped, kept columns as far as there are any."""
     names = comment_columns(spark, path)
     raw = spark.read.csv(path, sep="\t", schema=strings(names), comment="#", quote="", encoding="UTF-8").withColumn(ordinal, F.monotonically_increasing_id())
+    raw = raw.repartition(parts) if parts else raw
     kept = [c for c in fixed.COMMENT_COLUMNS if c in names]
     rows = raw.select(ordinal, *(nulls(F.col(c)).alias(c) for c in kept)).withColumn("VariationID", trim("VariationID"))
     if ids is not None:
