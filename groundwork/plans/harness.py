@@ -5,13 +5,13 @@ The tables hold no genomic records, so orders stand for records (their customers
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import fixed
 from groundwork.functions.text import cited_papers, passage_id, shingles, tokens
 from groundwork.operators import arms, budget, classify, dedupe, entities, generate, gold, rank, sample, sanitize, split
-from groundwork.plans import reports
+from groundwork.plans import pipelines, reports
 
 LABELS = ("pathogenic", "benign")
 SEED, TARGET = 7, 200
@@ -143,7 +143,13 @@ def h11_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.membership(t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "text")
 
 
-@query(None)
+#: A row goes if one of the earlier rows that it is near to has not gone.
+SQL_GREEDY = f"""{SQL_PAIRS}, bs as (select pos_b, list(pos_a) as near, row_number() over (order by pos_b) as i from pairs group by pos_b),
+ walk as (select 0::bigint as i, []::bigint[] as gone union all select b.i, case when len(list_filter(near, lambda x: not list_contains(gone, x))) > 0 then list_append(gone, pos_b) else gone end from walk w join bs b on b.i = w.i + 1),
+ gone as (select unnest(gone) as doc_id from walk where i = (select max(i) from walk))"""
+
+
+@query(f"with recursive {SQL_GREEDY} select doc_id, source, lang from items where doc_id not in (select doc_id from gone)")
 def h12_greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.greedy_keep(t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "text", 0.5).select("doc_id", "source", "lang")
 
@@ -251,13 +257,14 @@ def h21_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SPLIT = "case when cast(substr(gene, 2) as int) % 2 = 0 then 'train' else 'test' end"
-SQL_DONORS = f"""{SQL_PAIRED}, ms as (select *, {SQL_SPLIT} as split from main), ring as (select variation_id, gene, label, split, row_number() over (partition by split, label order by gene, variation_id) - 1 as a, count(*) over (partition by split, label) as nn, row_number() over (partition by split, label, gene order by variation_id) - 1 as j, count(*) over (partition by split, label, gene) as m, ('0x' || substr(md5('0:' || variation_id), 1, 8))::bigint as h from ms),
+SQL_DONORS = f"""{SQL_RECORDS}, main as (select * from records where label in ('pathogenic', 'benign')), ms as (select *, {SQL_SPLIT} as split from main), ring as (select variation_id, gene, label, split, row_number() over (partition by split, label order by gene, variation_id) - 1 as a, count(*) over (partition by split, label) as nn, row_number() over (partition by split, label, gene order by variation_id) - 1 as j, count(*) over (partition by split, label, gene) as m, ('0x' || substr(md5('0:' || variation_id), 1, 8))::bigint as h from ms),
  spots as (select *, case when m > 1 then a - j + (j + 1 + h % greatest(m - 1, 1)) % m end as sa, case when nn > m then (a - j + m + h % greatest(nn - m, 1)) % nn end as oa from ring),
  donors as (select x.variation_id, x.gene, x.label, x.split, y.variation_id as same_gene, z.variation_id as other_gene from spots x left join spots y on y.split = x.split and y.label = x.label and y.a = x.sa left join spots z on z.split = x.split and z.label = x.label and z.a = x.oa)"""
 
 
 def main_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired(spark, sf_dir).withColumn("split", F.expr(SQL_SPLIT))
+    """All labelled records, without a sample."""
+    return records(spark, sf_dir).where(F.col("label").isin(*LABELS)).withColumn("split", F.expr(SQL_SPLIT))
 
 
 @query(f"with {SQL_DONORS} select * from donors")
@@ -275,11 +282,11 @@ SQL_PASSAGES = "select conv_id, turn, role, text, cast(conv_id as string) as pmi
 
 def conversation_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(SQL_PASSAGES, conversations=t(spark, sf_dir, "conversations"))
-    words = F.slice(F.split("text", " "), 1, 6)
+    words = F.split("text", " ")
     return rows.select("pmid", F.lower("kind").alias("section"), "text", F.col("turn_no").alias("order"), words.alias("genes"), F.when(F.col("pmid").endswith("7"), F.array(F.concat(F.lit("RS"), "pmid"))).otherwise(F.array().cast("array<string>")).alias("rsids"), passage_id(F.col("pmid"), F.lower("kind"), F.col("turn_no")).alias("passage_id"))
 
 
-SQL_LEVELED = f"x as ({SQL_PASSAGES.format(conversations='conversations')}), lv as (select pmid, lower(kind) as section, text, turn_no, pmid || ':' || lower(kind) || ':' || cast(turn_no as string) as passage_id, case when pmid like '%7' then 'variant' when list_contains(list_transform(string_split(text, ' ')[1:6], lambda g: upper(g)), 'THE') then 'gene' else 'other' end as level from x)"
+SQL_LEVELED = f"x as ({SQL_PASSAGES.format(conversations='conversations')}), lv as (select pmid, lower(kind) as section, text, turn_no, pmid || ':' || lower(kind) || ':' || cast(turn_no as string) as passage_id, case when pmid like '%7' then 'variant' when list_contains(list_transform(string_split(text, ' '), lambda g: upper(g)), 'THE') then 'gene' else 'other' end as level from x)"
 
 
 @query(f"with {SQL_LEVELED} select passage_id, level from (select *, row_number() over (partition by passage_id order by pmid, turn_no) as r from lv where section in ('title', 'abstract') and length(text) >= 40 and level <> 'other') where r = 1")
@@ -304,9 +311,12 @@ def h26_annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("passage_id", "text", F.array_join(F.filter("genes", lambda g: g != "x"), ",").alias("genes"), F.array_join("rsids", ",").alias("rsids"), F.col("year").cast("long").alias("year"))
 
 
-SQL_EVIDENCE = "select 'G' || cast(doc_id % 120 as string) as gene, doc_id, source, substr(text, 1, 150) as text, case when doc_id % 4 = 0 then null else cast(2000 + doc_id % 20 as int) end as year from {documents} where doc_id < 1000"
-SQL_PROMPTS = f"""{SQL_DONORS}, ev as ({SQL_EVIDENCE.format(documents='documents')}),
- own as (select variation_id, list({{'doc_id': doc_id, 'source': source, 'text': text, 'year': year}} order by doc_id) as passages from main join ev using (gene) group by variation_id),
+SQL_EVIDENCE = "select 'G' || cast(doc_id % 120 as string) as gene, doc_id, source, text, case when doc_id % 4 = 0 then null else cast(2000 + doc_id % 20 as int) end as year from {documents}"
+SQL_PROMPTS = f"""{SQL_DONORS}, ev as (select *, length(text) as n, row_number() over (partition by gene order by doc_id) as rank from ({SQL_EVIDENCE.format(documents='documents')})),
+ walk as (select distinct gene, 0::bigint as rank, 0 as k, 0::bigint as used, false as took from ev union all
+  select w.gene, e.rank, w.k + case when w.k < 10 and w.used + e.n <= 6000 then 1 else 0 end, w.used + case when w.k < 10 and w.used + e.n <= 6000 then e.n else 0 end, w.k < 10 and w.used + e.n <= 6000 from walk w join ev e on e.gene = w.gene and e.rank = w.rank + 1),
+ pool as (select gene, list({{'doc_id': doc_id, 'source': source, 'text': text, 'year': year}} order by rank) as passages from ev join walk using (gene, rank) where took group by gene),
+ own as (select variation_id, passages from main join pool using (gene)),
  arm as (select unnest(['grounded', 'ungrounded', 'distractor_same_gene', 'distractor_other_gene']) as arm), wide as (select r.variation_id, r.gene, r.label, r."Name", r.rsid, r.pos, r.ref, r.alt, r.phenotypes, arm, case arm when 'distractor_same_gene' then same_gene when 'distractor_other_gene' then other_gene end as donor from main r join donors d using (variation_id), arm),
  joined as (select w.*, o.passages as own, case when arm = 'grounded' then o.passages when donor is not null then dp.passages end as passages, dr.rsid as donor_rs, dr."Name" as donor_name from wide w left join own o using (variation_id) left join own dp on dp.variation_id = w.donor left join main dr on dr.variation_id = w.donor where o.passages is not null),
  status as (select *, case when arm <> 'ungrounded' and passages is null then 'no_passages' when arm like 'distractor%' and list_transform(passages, lambda p: p.text) = list_transform(own, lambda p: p.text) then 'identical' else 'built' end as status, array_to_string(list_transform(passages, lambda p: p.text), ' ') as said from joined),
@@ -314,40 +324,41 @@ SQL_PROMPTS = f"""{SQL_DONORS}, ev as ({SQL_EVIDENCE.format(documents='documents
   || chr(10) || chr(10) || 'CLASSIFICATION' || chr(10) || case label when 'pathogenic' then '{fixed.LABEL_TEXTS['pathogenic']}' else '{fixed.LABEL_TEXTS['benign']}' end || chr(10) || chr(10) || 'EVIDENCE' || chr(10) || coalesce(array_to_string(list_transform(passages, lambda p, i: '[' || i || '] (' || p.source || coalesce(', ' || p.year, '') || ') ' || trim(p.text, chr(10) || chr(9) || chr(13) || ' ')), chr(10) || chr(10)), '{fixed.NO_EVIDENCE}') || chr(10) || chr(10) || 'TASK' || chr(10) || '{fixed.TASK.replace(chr(10), "' || chr(10) || '")}' as "user" from status where status = 'built')"""
 
 
-#: All documents, whole texts. SQL_EVIDENCE takes ids below 1000 and 150 characters of them.
-EVIDENCE = ("'G' || cast(doc_id % 120 as string) as gene", "doc_id", "source", "text", "case when doc_id % 4 = 0 then null else cast(2000 + doc_id % 20 as int) end as year")
-
-
 def prompt_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, what each gets delivered, and donors. A gene's documents are its pool, delivered in the order of their ids
+    under the usual budget: whole texts, ten of them and 6,000 characters at most."""
     main = main_set(spark, sf_dir)
-    docs = t(spark, sf_dir, "documents").selectExpr(*EVIDENCE)
-    item = F.struct("doc_id", "source", "text", "year")
-    delivered = main.select("variation_id", "gene").join(docs, "gene").groupBy("variation_id").agg(F.array_sort(F.collect_list(item)).alias("passages"))
+    docs = spark.sql(SQL_EVIDENCE, documents=t(spark, sf_dir, "documents"))
+    pools = docs.withColumns({"level": F.lit("gene"), "rank": F.row_number().over(Window.partitionBy("gene").orderBy("doc_id"))})
+    taken = budget.apply_budget(pools, "gene", "doc_id", "text", "level", slots=0)
+    item = F.struct("delivered_at", F.struct("doc_id", "source", "text", "year").alias("e"))
+    of_gene = taken.groupBy("gene").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).alias("passages"))  # ten at most
+    delivered = main.select("variation_id", "gene").join(of_gene, "gene").select("variation_id", "passages")
     return main.join(delivered, "variation_id", "left_semi"), delivered, arms.assign_donors(main)
 
 
-@query(f"""with {SQL_PROMPTS} select variation_id, arm, donor, "user" from prompt""")
+@query(f"""with recursive {SQL_PROMPTS} select variation_id, arm, donor, "user" from prompt""")
 def h27_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.build_prompts(*prompt_parts(spark, sf_dir)).select("variation_id", "arm", "donor", "user")
 
 
-@query(f"""with {SQL_PROMPTS}, sh as (select variation_id, count(*) as n, count(distinct string_split("user", chr(10) || 'EVIDENCE' || chr(10))[1]) as shells from prompt group by all) select count(*) as records, count(*) filter (n = 4) as complete, count(*) filter (shells > 1) as mismatches from sh""")
+@query(f"""with recursive {SQL_PROMPTS}, sh as (select variation_id, count(*) as n, count(distinct string_split("user", chr(10) || 'EVIDENCE' || chr(10))[1]) as shells from prompt group by all) select count(*) as records, count(*) filter (n = 4) as complete, count(*) filter (shells > 1) as mismatches from sh""")
 def h28_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.audit(arms.build_prompts(*prompt_parts(spark, sf_dir)), len(fixed.ARMS))
 
 
-@query(f"""with {SQL_PROMPTS} select variation_id, arm, regexp_matches(said, '\\b(rs\\d{{4,}}|c\\.\\d+[ACGT>_a-z]|p\\.[A-Z][a-z]{{2}}\\d+)') as names_a_variant, coalesce(contains(said, donor_rs), false) or coalesce(contains(said, nullif(regexp_extract(donor_name, ':(c\\.[A-Za-z0-9_>+*-]+)', 1), '')), false) as names_donor from prompt where arm like 'distractor%'""")
+@query(f"""with recursive {SQL_PROMPTS} select variation_id, arm, regexp_matches(said, '\\b(rs\\d{{4,}}|c\\.\\d+[ACGT>_a-z]|p\\.[A-Z][a-z]{{2}}\\d+)') as names_a_variant, coalesce(contains(said, donor_rs), false) or coalesce(contains(said, nullif(regexp_extract(donor_name, ':(c\\.[A-Za-z0-9_>+*-]+)', 1), '')), false) as names_donor from prompt where arm like 'distractor%'""")
 def h29_distractor_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = arms.build_prompts(*prompt_parts(spark, sf_dir)).where(F.col("arm").startswith("distractor"))
     return rows.select("variation_id", "arm", "names_a_variant", "names_donor")
 
 
-@query(f"""with {SQL_PROMPTS} select arm, count(*) filter (status = 'built') as built, count(*) filter (status = 'no_passages') as no_passages, count(*) filter (status = 'identical') as identical from status group by arm""")
+@query(f"""with recursive {SQL_PROMPTS} select arm, count(*) filter (status = 'built') as built, count(*) filter (status = 'no_passages') as no_passages, count(*) filter (status = 'identical') as identical from status group by arm""")
 def h29_arm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.arm_counts(arms.all_arms(*prompt_parts(spark, sf_dir)))
 
 
-@query(f"""with {SQL_PROMPTS}, r as (select unnest([0, 1]) as replicate) select variation_id || '__' || arm || '__' || substr(sha256('{fixed.ECHO_NAME}'), 1, 8) || '__r' || replicate as request, '{fixed.ECHO_BEFORE}' || gene || '{fixed.ECHO_AFTER}' as text from prompt, r""")
+@query(f"""with recursive {SQL_PROMPTS}, r as (select unnest([0, 1]) as replicate) select variation_id || '__' || arm || '__' || substr(sha256('{fixed.ECHO_NAME}'), 1, 8) || '__r' || replicate as request, '{fixed.ECHO_BEFORE}' || gene || '{fixed.ECHO_AFTER}' as text from prompt, r""")
 def h30_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generate.echo(arms.build_prompts(*prompt_parts(spark, sf_dir)), 2)
     return rows.select(generate.request_id(F.col("variation_id"), F.col("arm"), F.col("model"), F.col("replicate")).alias("request"), "text")
@@ -364,18 +375,75 @@ def h32_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.unionByName(b).distinct().withColumn("kind", F.lit("either")))
 
 
-@query(f"with {SQL_RECORDS} select label, count(*) as n_before, count(*) filter (cast(variation_id as bigint) % 3 = 0) as n_after from records group by label")
+@query(f"with {SQL_RECORDS}, {SQL_SENTENCES} select label, count(*) as n_before, count(*) filter (variation_id in (select cast(doc_id as string) from judged where verdict = 'kept')) as n_after from records group by label")
 def h33_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    return classify.gate_counts(rows, rows.where("cast(variation_id as bigint) % 3 = 0"))
+    texts = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("VariationID"), sanitize.sanitized("text", **PATTERNS).alias("sanitized"))
+    return classify.gate_counts(rows, classify.with_comment(rows, texts))
 
 
-@query(f"with recursive {SQL_DELIVERED}, rel as (select doc_id from ranked where doc_id % 7 = 0) select source, count(*) filter (rank <= 10) / count(*) as recall from ranked where doc_id % 7 = 0 group by source")
+@query(f"with {SQL_RANKED} select source, count(*) filter (rank <= 10) / count(*) as recall from ranked where doc_id in (select doc_id from labels where quality = 1) group by source")
 def h34_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranked(spark, sf_dir)
-    return gold.recall_at_k(rows, rows.where("doc_id % 7 = 0"), ["source"], "doc_id", 10)
+    relevant = t(spark, sf_dir, "labels").where("quality = 1").join(rows.select("source", "doc_id"), "doc_id")
+    return gold.recall_at_k(rows, relevant, ["source"], "doc_id", 10)
 
 
 @query("select doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{5,8}'))) as n from documents")
 def h35_cited_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.size(cited_papers("text", "([0-9]{5,8})", r"((?:[0-9]{5,8}[,\s;]*)+)", "[0-9]{5,8}")).cast("long").alias("n"))
+
+
+@query(f"""with recursive {SQL_PROMPTS}, fl as (select arm, regexp_matches(said, '\\b(rs\\d{{4,}}|c\\.\\d+[ACGT>_a-z]|p\\.[A-Z][a-z]{{2}}\\d+)') as any_name, coalesce(contains(said, donor_rs), false) or coalesce(contains(said, nullif(regexp_extract(donor_name, ':(c\\.[A-Za-z0-9_>+*-]+)', 1), '')), false) as own_name from prompt where arm like 'distractor%') select arm, count(*) as n, count(*) filter (own_name) as names_donor, count(*) filter (any_name) as names_a_variant, count(*) filter (own_name) / count(*) as donor_share, count(*) filter (any_name) / count(*) as variant_share from fl group by arm""")
+def h36_naming_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arms.naming_report(arms.build_prompts(*prompt_parts(spark, sf_dir)))
+
+
+#: Documents as comments on records, with sentences of all three families of the domain put into them.
+SAID = "replace(replace(replace(replace(text, ' the ', ' likely pathogenic '), ' und ', ' PS3 '), ' que ', ' we classify '), ' en ', ' in summary ')"
+
+
+def _any_word(pattern: str, flags: str) -> str:
+    """A pattern of the domain for an engine whose word boundaries know ASCII only."""
+    edge = r"[^\p{L}\p{N}_]"
+    return "'" + flags + "|".join(f"(^|{edge})" + x.removeprefix(r"\b").removesuffix(r"\b").replace("'", "''") + f"($|{edge})" for x in pattern.split(r"\b|\b")) + "'"
+
+
+SQL_CLEAN = f"""said as (select doc_id, source, {SAID} as text from documents),
+ {SQL_SENTENCES.split(" judged as")[0].replace("from documents)", "from said)").rstrip().rstrip(",")},
+ verdicts as (select *, case when regexp_matches(s, {_any_word(fixed.CODE_PATTERN, "")}) then 'code' when regexp_matches(s, {_any_word(fixed.LABEL_PATTERN, "(?i)")}) then 'label' when regexp_matches(s, {_any_word(fixed.VERDICT_PATTERN, "(?i)")}) then 'verdict' else 'kept' end as verdict from sentences),
+ clean as (select doc_id, source as rec, string_agg(s, ' ' order by i) as sanitized from verdicts where verdict = 'kept' group by all)"""
+
+
+def comments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select(F.col("source").alias("VariationID"), F.expr(SAID).alias("Description"), F.col("doc_id").alias("ordinal"))
+
+
+@query(f"with {SQL_CLEAN} select verdict, count(*) as n from verdicts group by verdict")
+def h37_domain_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by family of the domain's own patterns."""
+    return comments_of(spark, sf_dir).select(F.explode(sanitize.judged("Description")).alias("s")).groupBy(F.col("s.verdict").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+SQL_COMMENTS = f"""{SQL_CLEAN}, ws as (select doc_id, rec, sanitized, regexp_extract_all(lower(sanitized), '[\\p{{L}}\\p{{N}}_]+') as w from clean where trim(sanitized) <> ''),
+ sets as (select doc_id, rec, list_sort(case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end) as s from ws),
+ items as (select rec, s, min(doc_id) as doc_id from sets group by all), ex as (select rec, doc_id, len(s) as n, unnest(s) as h from items),
+ pairs as (select a.doc_id as pos_a, b.doc_id as pos_b from ex a join ex b on a.rec = b.rec and a.h = b.h and a.doc_id < b.doc_id group by a.rec, a.doc_id, b.doc_id having count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.95),
+ bs as (select pos_b, list(pos_a) as near, row_number() over (order by pos_b) as i from pairs group by pos_b),
+ walk as (select 0::bigint as i, []::bigint[] as gone union all select b.i, case when len(list_filter(near, lambda x: not list_contains(gone, x))) > 0 then list_append(gone, pos_b) else gone end from walk w join bs b on b.i = w.i + 1),
+ gone as (select unnest(gone) as doc_id from walk where i = (select max(i) from walk))"""
+
+
+@query(f"with recursive {SQL_COMMENTS} select doc_id as ordinal, sanitized from items join clean using (doc_id) where doc_id not in (select doc_id from gone)")
+def h38_clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline that cleans comments, end to end: sanitised by the domain's patterns, the emptied and the near-duplicate gone."""
+    return pipelines.clean_comments(comments_of(spark, sf_dir)).select("ordinal", "sanitized")
+
+
+@query(f"with recursive {SQL_DELIVERED}, sz as (select source, count(*) as pool_size from ranked group by source), one as (select d.source, {SQL_SIDE.replace('source', 'd.source')} as label, pool_size, count(*) as n, sum(d.n) as chars, count(*) filter (level = 'variant') as near, count(*) filter (level = 'gene') as gene from delivered d join sz using (source) group by all) select label, count(*) as n, round(avg(pool_size), 2) as pool, round(avg(n), 2) as passages, round(avg(chars), 2) as chars, round(avg(near), 2) as record_level, round(avg(gene), 2) as gene_level from one group by label")
+def h39_delivery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools from records and their evidence, ranked, delivered and reported: sources stand for records."""
+    docs = t(spark, sf_dir, "documents")
+    pools = docs.select(F.col("source").alias("variation_id"), F.format_string("%019d", "doc_id").alias("doc_id"), F.lit("literature").alias("source"), "text", F.expr(SQL_LEVEL).alias("level"), F.lit(None).cast("int").alias("year"))
+    records_ = docs.select(F.col("source").alias("variation_id")).distinct().withColumns({"gene": F.lit(QUERY), "rsid": F.lit(None).cast("string"), "phenotypes": F.lit(""), "split": F.lit("dev"), "label": F.expr(SQL_SIDE.replace("source", "variation_id"))})
+    return reports.delivery_report(pipelines.evidence_pools(records_, pools, slots=2))

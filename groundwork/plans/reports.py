@@ -53,6 +53,23 @@ def budget_lines(report: DataFrame, path: str) -> str:
     return write_markdown(["# Delivery", "", *rows_of(report), "", verdict], path)
 
 
+def delivery_lines(pools: DataFrame, path: str) -> str:
+    """The report on delivered pools: the table by label, and how far labels can be told apart by length."""
+    rows = pools.selectExpr("label", "size(delivered) n", "aggregate(delivered, 0L, (s, e) -> s + length(e.text)) chars").where("n > 0")
+    means = [r[0] for r in rows.groupBy("label").agg(F.round(F.avg("chars"), 1).alias("chars")).select("chars").collect()]  # a row for each label
+    ratio = round(max(means) / min(means), 2) if len(means) == 2 and min(means) else None
+    verdict = "- no ratio: there are not two labels" if ratio is None else f"- ratio {ratio}: {'PASS' if ratio <= MOST_RATIO else 'WARN'}, the limit is {MOST_RATIO}"
+    return write_markdown(["# Delivery", "", *rows_of(delivery_report(pools)), "", verdict], path)
+
+
+def delivery_report(pools: DataFrame) -> DataFrame:
+    """Per label: means of pool size, passages, chars, and passages of the two nearest levels, to two places."""
+    n = lambda level: F.size(F.filter("delivered", lambda e: e["level"] == level))
+    chars = F.aggregate("delivered", F.lit(0), lambda s, e: s + F.length(e["text"]))
+    mean = lambda c, name: F.round(F.avg(c), 2).alias(name)
+    return pools.groupBy("label").agg(F.count("*").alias("n"), mean("pool_size", "pool"), mean(F.size("delivered"), "passages"), mean(chars, "chars"), mean(n("variant"), "record_level"), mean(n("gene"), "gene_level"))
+
+
 def retrieval_report(score: DataFrame, verdict: str, path: str) -> str:
     return write_markdown(["# Retrieval", "", *rows_of(score), "", f"- {verdict}"], path)
 
@@ -70,7 +87,7 @@ def preview(prompts: DataFrame, chars: int = 900) -> DataFrame:
 
 def coverage_report(covered: DataFrame, path: str) -> str:
     lines = ["# Corpus coverage", ""]
-    for c in [x for x in covered.columns if x.endswith(("_passages", "_papers", "_variant"))]:
+    for c in [x for x in covered.columns if x.endswith(("_passages", "_papers", "_variant", "_gene"))]:
         d = distribution(covered, c).first()
         lines.append(f"- {c}: zero {d['zero']} ({d['zero_share']:.0%}), median {d['median']}, mean {d['mean']}, most {d['max']}")
     return write_markdown(lines, path)

@@ -441,7 +441,7 @@ def test_pipelines_end_to_end(spark, tmp_path):
     back = artifacts.read_pools(spark, f"{tmp_path}/pools").persist()
     assert back.count() == 48 and back.selectExpr("min(pool_size)", "min(size(delivered))").first()[0] >= 2
     assert back.first()["delivered"][0]["level"] == "variant"
-    assert pipelines.delivery_report(back).count() == 2
+    assert reports.delivery_report(back).count() == 2
     r = pipelines.evaluate_retrieval(main, comments, pool).first()
     assert r["records"] == 48 and r["pool_recall"] == 0.0
     out = pipelines.prompts(main, back)
@@ -470,3 +470,114 @@ def test_null_groups_and_membership(spark):
     assert sorted(r["pos"] for r in dedupe.greedy_keep(df, ["g"], "pos", "text", 0.6).collect()) == [1, 4, 5]
     got = {r["pos"]: (r["g"], r["representative"], r["copies"]) for r in dedupe.membership(df, ["g"], "pos", "text").collect()}
     assert got == {1: (None, 1, 2), 2: (None, 1, 2), 3: (None, 3, 1), 4: ("x", 4, 1), 5: ("x", 5, 1)}
+
+
+def gold_behind_a_comment(spark):
+    pools = spark.createDataFrame([("v", "c1", "comment", "gene words of a comment", "variant", 2000), ("v", "111111:title:0", "literature", "gene", "other", 2000), ("v", "222222:title:0", "literature", "something else", "other", 2000)], "variation_id string, doc_id string, source string, text string, level string, year int")
+    records = spark.createDataFrame([("v", "gene", None)], "variation_id string, gene string, rsid string")
+    return records, spark.createDataFrame([("v", "PMID: 111111")], "VariationID string, Description string"), pools
+
+
+def test_comments_take_no_ranks_and_k_is_reported(spark):
+    records, comments, pools = gold_behind_a_comment(spark)
+    r = pipelines.evaluate_retrieval(records, comments, pools, k=7).first().asDict()
+    assert (r["records"], r["pool_recall"], r["recall_at_1"], r["recall_at_7"]) == (1, 1.0, 1.0, 1.0) and "recall_at_10" not in r
+
+
+def test_folds_are_dealt_by_the_rule():
+    import numpy as np
+
+    # quotas 6 and 4 of the first label, 3 and 2 of the second: room decides, then excess, then the first of equals
+    sizes = np.array([[4, 1], [3, 2], [2, 1], [1, 1]])
+    assert split.dealt(sizes, np.array([0.6, 0.4])).tolist() == [0, 1, 0, 0]
+    assert split.dealt(np.array([[1], [1], [1], [1]]), np.array([0.5, 0.5])).tolist() == [0, 1, 0, 1]
+    assert split.dealt(np.array([[5], [1]]), np.array([0.5, 0.5])).tolist() == [0, 1]
+
+
+#: A service in a module of its own, which workers import by name: searches find paper 5 by rs number, papers 6 and 5 by gene; G3's requests fail.
+SERVICE = """
+import json
+
+DOC = json.loads({doc!r})
+
+
+def answer(path, parameters):
+    if path == "search":
+        if "G3" in parameters["text"]:
+            return 404, ""
+        return 200, json.dumps({{"results": [{{"pmid": 5}}] if parameters["text"].startswith("rs") else [{{"pmid": 6}}, {{"pmid": 5}}], "total_pages": 1}})
+    return 200, json.dumps({{"documents": [{{**DOC, "pmid": x}} for x in parameters["pmids"].split(",")]}})
+"""
+
+
+def test_command_line(spark, tmp_path):
+    from groundwork import cli
+    from groundwork.plans import literature
+
+    doc = json.loads(json.dumps(DOC))
+    doc["passages"][0]["annotations"] += [{"text": f"G{i}", "infons": {"type": "Gene", "name": f"G{i}"}} for i in range(12)]
+    (tmp_path / "fixture_service.py").write_text(SERVICE.format(doc=json.dumps(doc)))
+    spark.sparkContext.addPyFile(str(tmp_path / "fixture_service.py"))
+    service = "fixture_service:answer"
+    same = {"Type": "single nucleotide variant", "Assembly": "GRCh38", "Origin": "germline", "ReferenceAlleleVCF": "A", "AlternateAlleleVCF": "G", "ReviewStatus": "practice guideline"}
+    rows = [{**same, "VariationID": str(i), "GeneSymbol": f"G{i % 12}", "ClinicalSignificance": ["Pathogenic", "Benign"][i // 12 % 2] if i < 96 else "Uncertain significance", "RS# (dbSNP)": str(1000 + i)} for i in range(100)]
+    with gzip.open(tmp_path / "dump.gz", "wt") as f:
+        f.write("\n".join("\t".join(x) for x in [fixed.RECORD_COLUMNS, *([r.get(c, "") for c in fixed.RECORD_COLUMNS] for r in rows)]))
+    with gzip.open(tmp_path / "said.gz", "wt") as f:
+        f.write("#VariationID: prose\n#" + "\t".join(fixed.COMMENT_COLUMNS) + "\n")
+        f.write("\n".join("\t".join({"VariationID": str(i), "SCV": f"S{i}", "Description": f"Family {i} was seen with PMID: 1234{i:03d} in a long enough text of a comment that segregates. It is classified as benign here and elsewhere."}.get(c, "-") for c in fixed.COMMENT_COLUMNS) for i in range(100)))
+    at = lambda name: str(tmp_path / name)
+    cfg = {"source": {"raw_path": at("dump.gz"), "submissions_path": at("said.gz"), "assembly": "GRCh38"}, "sampling": {"target_n": 48, "pair_by_gene": True}, "split": {"by": "gene", "fractions": {"dev": 0.5, "test": 0.5}}, "paths": {"processed": at("out")}}
+    (tmp_path / "cfg.json").write_text(json.dumps(cfg))
+    run = lambda *args: cli.main(list(args), spark)
+    assert run("records", "--config", at("cfg.json"), "--skip-download") == {"main": 48, "unresolved": 4}
+    with pytest.raises(SystemExit):
+        run("records", "--config", at("cfg.json"))
+    v, common = at("out/variants.parquet"), ["--cache", at("cache"), "--transport", service, "--pages", "1"]
+    assert run("comments", "--submissions", at("said.gz"), "--variants", v, "--out", at("comments"), "--report", at("c.md")) == {"comments": 48}
+    found = literature.corpus(spark, artifacts.read_parquet(spark, v), at("other"), service, 1, 0)
+    assert {r["error"] for r in found["errors"].collect()} == {"RequestFailed: search: status 404"} and found["errors"].count() == 4
+    one_record = [r["pmid"] for r in found["passages"].where("section = 'title'").orderBy("variation_id", "position").limit(2).collect()]
+    assert one_record == ["5", "6"]  # the rs number's paper first, once
+    n = run("pools", "--variants", v, "--comments", at("comments"), "--split", "all", "--out", at("pools"), "--report", at("p.md"), *common)
+    assert n == {"pools": 44, "errors": 4} and run("pools", "--variants", v, "--comments", at("comments"), "--split", "all", "--out", at("pools"), "--report", at("p.md"), *common) == n
+    assert run("probe", "--variants", v, "--split", "all", "--n", "48", "--out", at("csv"), "--report", at("cov.md"), *common) == {"probed": 44, "errors": 4}
+    dev = run("recall", "--variants", v, "--comments", at("comments"), "--report", at("r.md"), "--cached-only", "--cache", at("cache"), "--pages", "1")
+    every = run("recall", "--variants", v, "--comments", at("comments"), "--split", "all", "--report", at("r.md"), "--cached-only", "--cache", at("cache"), "--pages", "1")
+    assert every == {"records": 44, "skipped": 4} and 0 < dev["records"] < 44
+    n = run("generate", "--variants", v, "--pools", at("pools"), "--split", "all", "--out", at("gen"), "--report", at("a.md"), "--arms", "grounded", "ungrounded")
+    assert n == {"prompts": 88, "missing": 4, "ok": 88, "errors": 0}
+    assert "ok" not in run("generate", "--variants", v, "--pools", at("pools"), "--report", at("a.md"), "--dry-run")
+
+
+def test_greedy_keep_and_pairs_against_brute_force(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(40)] = f"x{rng.randrange(5)}"
+        rows.append((i % 2, i, " ".join(w)))
+    df = spark.createDataFrame(rows, "g int, pos long, text string")
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(36)} for _, i, t in rows}
+    for t in (0.5, 0.8):
+        want = set()
+        for g in (0, 1):
+            own = [i for h, i, _ in rows if h == g]
+            want |= {own[k] for k in brute_keep([sets[i] for i in own], t)}
+        assert {r["pos"] for r in dedupe.greedy_keep(df, ["g"], "pos", "text", t).collect()} == want
+
+
+def test_entry_without_the_optional_libraries(monkeypatch):
+    import importlib
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # as if it could not be found
+    for name in [x for x in sys.modules if x.startswith("groundwork.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    with pytest.warns(UserWarning, match="left out"):
+        entry = importlib.import_module("__spark_entry__")
+    assert "h04_filter_records" in entry.queries() and not [x for x in entry.queries() if x.startswith("op")] and set(entry.oracle_sql()) <= set(entry.queries())
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
