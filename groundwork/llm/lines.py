@@ -1,15 +1,17 @@
 """Line dedup [native]: later copies of repeated line runs are deleted.
 
 A document is the sequence of its line-feed separated lines. Line ids are 128 bits of hash. Distributed prefix doubling
-ranks the suffixes of all sequences together: ranks by 1 line, then by 2, 4, ... lines from pairs of ranks, up to
-`min_lines`; unique prefixes are discarded at once, since nothing can equal them. Ordered by rank and place, what is left
-is the suffix array cut at that depth, and its intervals of common prefix >= `min_lines` are the rows of equal rank. The
-first place of an interval stays; consecutive later places join into maximal repeated runs, which are deleted.
+ranks the suffixes of all sequences together: by 1 line, then by 2, 4, ... lines from pairs of ranks, until every prefix
+is unique; what is unique is discarded at once, since nothing can equal it. The ranks of each width are kept: together they
+are the suffix array of all that repeats, and tell the longest common prefix of any two places by halving.
 
-So a line goes exactly if it lies in `min_lines` consecutive lines that stand at an earlier place as well, by doc_id, then
-line number. With `min_words`, fewer lines suffice if they have that many words: then depth grows line by line, and the
-intervals of every depth count whose prefixes have the words. Ranks come from counts of key ranges: no sort of all rows, no group collected in one task; frequent lines
-are combined before they move, and joined by joins whose large partitions the planner splits.
+Ordered by the ranks, places with a common prefix of `min_lines` are an interval. With `min_words`, so are places with a
+common prefix of fewer lines that have that many words. The first place of an interval, by doc_id and line number, stays. Every later one names a pair of places; pairs that only continue another one by a line are left out,
+and the longest common prefix of the others is the maximal run that they begin. The later copies of the runs are deleted.
+
+So a line goes exactly if it lies in `min_lines` consecutive lines, or in lines of `min_words` words, that stand at an earlier
+place as well. Ranks come from counts of key ranges: no sort of all rows, no group collected in one task; frequent lines are
+combined before they move, and joined by joins whose large partitions the planner splits.
 
 Defined cases: a null text has no lines, stays null and removes nothing; an empty text is one empty line; rows with equal
 doc_id and text are one document, and are returned alike; a null doc_id comes after all others; a document that loses all
@@ -27,19 +29,24 @@ from groundwork.llm.common import WORD, Workspace, free_name
 
 MIN_LINES, MIN_WORDS = 3, 50
 PLACE = ["line_doc", "line_text", "line_pos"]
+DOC = PLACE[:2]
 LAST = 2**63 - 1
-#: Rows of a key range that one task orders.
-RANGE_ROWS = 50_000
+#: Rows of a key range that one task orders, and ranges whose counts one task adds up.
+RANGE_ROWS, BLOCK_RANGES = 50_000, 4096
 
 
 def place_of(df: DataFrame) -> DataFrame:
     return df.withColumns({"line_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "line_text": F.xxhash64(F.lit(1), F.col("text").cast("string"))})
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    each = place_of(docs).where("text is not null").select("line_doc", "line_text", F.posexplode(F.split("text", "\n")).alias("line_pos", "line"))
-    n_words = F.regexp_count("line", F.lit(WORD))
-    return each.select(*PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(2), "line").alias("y"), n_words.alias("line_words"), n_words.cast("long").alias("words")).distinct()
+def line_rows(docs: DataFrame, depths: int) -> DataFrame:
+    """PLACE, x, y (the line's id) and words: of the first 1, 2, ... lines from there on."""
+    each = place_of(docs).where("text is not null").select(*DOC, F.posexplode(F.split("text", "\n")).alias("line_pos", "line"))
+    rows = each.select(*PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(2), "line").alias("y"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("n_words")).distinct()
+    if depths == 0:
+        return rows.select(*PLACE, "x", "y", F.array().cast("array<bigint>").alias("words"))
+    by_place = Window.partitionBy(*DOC).orderBy("line_pos")
+    return rows.select(*PLACE, "x", "y", F.array(*(F.sum("n_words").over(by_place.rowsBetween(0, i)) for i in range(depths))).alias("words"))
 
 
 def ranked(rows: DataFrame, work: Workspace, name: str, spread: Callable[[Column], Column]) -> tuple[DataFrame, int]:
@@ -50,53 +57,93 @@ def ranked(rows: DataFrame, work: Workspace, name: str, spread: Callable[[Column
     cut = keys.withColumns({"part": part("x", max(1, -(-n // RANGE_ROWS))), "sub": part("y", 64)})
     so_far = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = cut.groupBy("part", "sub").agg(F.count("*").alias("n_keys"))
-    of_part = sums.groupBy("part").agg(F.sum("n_keys").alias("n_part"))  # one row per RANGE_ROWS keys: all that is ever in one task
-    of_part = of_part.select("part", so_far(Window.orderBy("part"), "n_part").alias("part_start"))
+    of_part = sums.groupBy("part").agg(F.sum("n_keys").alias("n_part")).withColumn("block", F.floor(F.col("part") / BLOCK_RANGES))
+    of_block = of_part.groupBy("block").agg(F.sum("n_part").alias("n_block")).withColumn("block_start", so_far(Window.orderBy("block"), "n_block"))  # a row for RANGE_ROWS * BLOCK_RANGES keys
+    of_part = of_part.withColumn("in_block", so_far(Window.partitionBy("block").orderBy("part"), "n_part")).join(of_block, "block").select("part", (F.col("block_start") + F.col("in_block")).alias("part_start"))
     start = sums.withColumn("sub_start", so_far(Window.partitionBy("part").orderBy("sub"), "n_keys")).join(of_part, "part").select("part", "sub", (F.col("part_start") + F.col("sub_start")).alias("start"))
     in_part = F.row_number().over(Window.partitionBy("part", "sub").orderBy("x", "y"))
     numbers = cut.join(start, ["part", "sub"]).select("x", "y", (F.col("start") + in_part).alias("rank"))
-    out = work.write(rows.join(numbers, ["x", "y"]).select(*PLACE, "line_words", "words", "rank"), name)
+    out = work.write(rows.join(numbers, ["x", "y"]).select(*PLACE, "words", "rank"), name)
     work.drop(f"{name}-keys")
     return out, n
 
 
-def later_places(ranks: DataFrame, depth: int) -> DataFrame:
-    """PLACE, last: the prefixes of depth lines that stand at an earlier place as well."""
-    first = ranks.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first"))
-    later = ranks.join(first, "rank").where(F.struct(*PLACE) > F.col("first"))
-    return later.select(*PLACE, (F.col("line_pos") + depth - 1).alias("last"))
+def ahead(ranks: DataFrame, step: int) -> DataFrame:
+    """x: the rank, y: the rank `step` lines on; places without such a rank go."""
+    then = Window.partitionBy(*DOC).orderBy("line_pos").rangeBetween(step, step)
+    return ranks.withColumn("y", F.first("rank").over(then)).where("y is not null").withColumnRenamed("rank", "x")
 
 
-def repeated_prefixes(docs: DataFrame, min_lines: int, min_words: int | None, work: Workspace) -> DataFrame:
-    """PLACE, last: all later copies of min_lines lines, or of fewer with min_words words."""
-    lines = work.write(line_rows(docs), "lines")
-    ranks, n = ranked(lines, work, "ranks-1", lambda h: h.cast("double") / F.lit(2.0**64) + F.lit(0.5))
+def suffix_ranks(docs: DataFrame, depths: int, work: Workspace) -> list[DataFrame]:
+    """The ranks of all repeated prefixes of 1, 2, 4, ... lines."""
+    lines = work.write(line_rows(docs, depths), "lines")
+    ranks, n = ranked(lines, work, "ranks-0", lambda h: h.cast("double") / F.lit(2.0**64) + F.lit(0.5))
     work.drop("lines")
-    depth, short = 1, []
-    while depth < min_lines:
-        if min_words is not None:
-            short.append(work.write(later_places(ranks.where(F.col("words") >= min_words), depth), f"later-{depth}"))
-        step = 1 if min_words is not None else min(depth, min_lines - depth)  # two overlapping prefixes at the last
-        ahead = Window.partitionBy("line_doc", "line_text").orderBy("line_pos").rangeBetween(step, step)
-        pairs = ranks.withColumns({"y": F.first("rank").over(ahead), "words": F.col("line_words") + F.first("words").over(ahead)})  # words hold for steps of 1
-        pairs = pairs.where("y is not null").withColumnRenamed("rank", "x")
-        depth, before, high = depth + step, f"ranks-{depth}", max(1, n)
-        ranks, n = ranked(pairs, work, f"ranks-{depth}", lambda r, high=high: (r - 1) / F.lit(float(high)))
-        work.drop(before)
-    later = later_places(ranks, depth)
-    for x in short:
-        later = later.union(x)
-    return later
+    out = []
+    while n:
+        out.append(ranks)
+        ranks, n = ranked(ahead(ranks, 1 << len(out) - 1), work, f"ranks-{len(out)}", lambda r, high=n: (r - 1) / F.lit(float(high)))
+    return out
+
+
+def prefixes(levels: list[DataFrame], depth: int) -> DataFrame | None:
+    """PLACE, words, x, y: a key for each repeated prefix of `depth` lines, from one or two overlapping ranks."""
+    k = depth.bit_length() - 1
+    if k >= len(levels):
+        return None
+    return levels[k].withColumnRenamed("rank", "x").withColumn("y", F.lit(0).cast("long")) if depth == 1 << k else ahead(levels[k], depth - (1 << k))
+
+
+def later_places(levels: list[DataFrame], min_lines: int, min_words: int | None, work: Workspace) -> DataFrame:
+    """PLACE and, as first_doc, first_text, first_pos, the first place of its interval: for every place that isn't first."""
+    found = []
+    for depth in range(1 if min_words is not None else min_lines, min_lines + 1):
+        rows = prefixes(levels, depth)
+        if rows is None:
+            break
+        if depth < min_lines:
+            rows = rows.where(F.get(F.col("words"), depth - 1) >= min_words)
+        # minima are combined before they move; written, they are no part of the plan that joins the rows
+        first = work.write(rows.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), f"first-{depth}")
+        later = rows.join(first, ["x", "y"]).where(F.struct(*PLACE) > F.col("first"))
+        found.append(later.select(*PLACE, F.col("first.line_doc").alias("first_doc"), F.col("first.line_text").alias("first_text"), F.col("first.line_pos").alias("first_pos")))
+    none = work.spark.createDataFrame([], "line_doc long, line_text long, line_pos int, first_doc long, first_text long, first_pos int")
+    for x in found:
+        none = none.union(x)
+    return none
+
+
+def maximal_runs(levels: list[DataFrame], later: DataFrame) -> DataFrame:
+    """DOC, line_pos, last: the run that each pair of places begins which doesn't continue another pair by a line."""
+    alignment = [*DOC, "first_doc", "first_text", F.col("line_pos") - F.col("first_pos")]
+    before = F.lag("line_pos").over(Window.partitionBy(*alignment).orderBy("line_pos"))
+    pairs = later.withColumn("before", before).where("before is null or before < line_pos - 1").drop("before").withColumn("common", F.lit(0))
+    for k in reversed(range(len(levels))):  # the longest common prefix, by halves
+        at = lambda s, k=k: levels[k].select(*(F.col(c).alias(f"{c}_{s}") for c in (*PLACE, "rank")))
+        a, b = at("a"), at("b")
+        pairs = pairs.join(a, (F.col("line_doc") == a.line_doc_a) & (F.col("line_text") == a.line_text_a) & (F.col("line_pos") + F.col("common") == a.line_pos_a), "left")
+        pairs = pairs.join(b, (F.col("first_doc") == b.line_doc_b) & (F.col("first_text") == b.line_text_b) & (F.col("first_pos") + F.col("common") == b.line_pos_b), "left")
+        pairs = pairs.select(*PLACE, "first_doc", "first_text", "first_pos", (F.col("common") + F.when(F.col("rank_a") == F.col("rank_b"), 1 << k).otherwise(0)).alias("common"))
+    return pairs.select(*PLACE, (F.col("line_pos") + F.col("common") - 1).alias("last"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """line_doc, line_text, runs: the maximal runs of lines, as (start, end), that are later copies."""
+    """line_doc, line_text, runs: the runs of lines, as (start, end), that are later copies; runs that touch are one."""
     work = Workspace(docs.sparkSession, "lines")
-    by_place = Window.partitionBy("line_doc", "line_text").orderBy("line_pos", "last")
+    levels = suffix_ranks(docs, min_lines - 1 if min_words is not None else 0, work)
+    found = work.write(maximal_runs(levels, work.write(later_places(levels, min_lines, min_words, work), "later")), "maximal")
+    by_place = Window.partitionBy(*DOC).orderBy("line_pos", "last")
     reached = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    joined = repeated_prefixes(docs, min_lines, min_words, work).withColumn("new", F.coalesce(F.col("line_pos") > reached + 1, F.lit(True)).cast("int"))
-    runs = joined.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("line_doc", "line_text", "run").agg(F.min("line_pos").alias("start"), F.max("last").alias("end"))
-    return work.write(runs.groupBy("line_doc", "line_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+    joined = found.withColumn("new", F.coalesce(F.col("line_pos") > reached + 1, F.lit(True)).cast("int"))
+    runs = joined.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*DOC, "run").agg(F.min("line_pos").alias("start"), F.max("last").alias("end"))
+    out = work.write(runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+    work.drop("later", "maximal", *(f"first-{i}" for i in range(1, min_lines + 1)), *(f"ranks-{i}" for i in range(len(levels) + 1)))
+    return out
+
+
+def names_for(docs: DataFrame) -> dict[str, str]:
+    """The names that dedup_lines gives its own columns: with underscores before a name that docs has."""
+    return {n: free_name(docs, n) for n in ("n_lines", "n_removed", "n_runs")}
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
@@ -119,4 +166,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | No
         "n_runs": F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long"),
     }
     own = [(kept if c == given["text"] else F.col(c)).alias(name) for c, name in zip(names, docs.columns, strict=True)]
-    return rows.select(*own, *(x.alias(free_name(docs, n)) for n, x in counts.items()))
+    return rows.select(*own, *(x.alias(names_for(docs)[n]) for n, x in counts.items()))
