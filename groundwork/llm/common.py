@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,8 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets go of shuffle files that no plan refers to any more; else they stay on the executors' disks until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python lets go first, a little later the JVM notices
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 class Workspace:

@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars, in DataFrame operations only.
 
 A large star hangs every greater neighbour of a node on the least node around it, a small star does the same for the
-lesser ones. Minima are combined before they move, and no group is ever collected, so a hub costs as much as its links.
-Every round is written to the shared folder, which cuts the lineage.
+lesser ones. Minima are combined before they move, and written, so that their join to the links is one that the planner
+broadcasts or whose large partitions it splits: a hub costs as much as its links, and not in one task. Every round is
+written to the shared folder, which cuts the lineage.
 
 Defined cases: links from a node to itself, and links with a null end, are ignored; repeated links count once;
 without links there are no components.
@@ -23,15 +24,16 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     stars, turn, seen = work.write(stars, "0"), 0, None
     while True:
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = work.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{turn}-large")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = work.write(large, f"{turn}-links")
+        least = work.write(large.groupBy("a").agg(F.min("b").alias("m")), f"{turn}-small")
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         turn += 1
         stars = work.write(small, str(turn))
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        work.drop(str(turn - 1))
+        work.drop(*(f"{turn - 1}{x}" for x in ("", "-large", "-links", "-small")))
         if now == seen:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now

@@ -10,11 +10,14 @@ Within a key each fingerprint is visited once, as in a search over what is not y
 not all pairs. Keys that more than KEY_LIMIT distinct fingerprints share are dealt out again by keys with more equal
 bits (the remaining bits in four segments, one of which must be equal), without loss, until none is left.
 
+With `similarity`, fingerprints only propose: exact Jaccard similarity of the shingles' sets decides, and pairs that no
+three bits can show are found by `jaccard`, whose bounds prune what is compared.
+
 Style: Arrow batches for fingerprints and candidate keys, DataFrame operations for all else. Only fingerprints, never
 texts, are shuffled, and copies are combined before that.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; with fewer words than a shingle
-the whole sequence is the one shingle; repeated rows share their component; a null doc_id never names a component unless
+the whole sequence is the one shingle; repeated rows share their component, and of rows that repeat an id and a text (null and empty are one) one stays; a null doc_id never names a component unless
 no other is in it (then null); an empty table gives an empty result; only doc_id and text are read.
 """
 
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import Workspace, free_name, map_batches, text_bytes
@@ -256,7 +259,7 @@ def classes_of(docs: DataFrame, words: int, seed: int, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(signed(fps), pa.int64())})
 
     work = Workspace(docs.sparkSession, "simhash")
-    plain = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of_text().alias("text_key"), F.col("text").cast("string").alias("text"))
     rows = work.write(map_batches(plain, run, "doc_id long, text_key long, fp long"), "fingerprints")
     fps = work.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     nodes = connected_components(links_within(fps.select("fp"), work, limit), "simhash-components")
@@ -270,9 +273,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit
     return classes_of(docs, words, seed, limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = KEY_LIMIT) -> DataFrame:
-    """docs without those that have a near-duplicate with a smaller doc_id; of rows that repeat an id and a text one stays."""
-    return keep_first(docs, classes_of(docs, words, seed, limit))
+def one_of_each(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = KEY_LIMIT, similarity: float | None = None) -> DataFrame:
+    """docs without those that have a near-duplicate with a smaller doc_id, directly or over others: within MOST_BITS of each
+    other or, if similarity is given, with shingle sets of that Jaccard similarity or more."""
+    if similarity is None:
+        return keep_first(docs, classes_of(docs, words, seed, limit))
+    from groundwork.llm import jaccard  # it builds on this module
+
+    return keep_first(docs, jaccard.classes_of(docs, words, similarity, limit))
+
+
+def key_of_text() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -281,8 +293,8 @@ def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     kept = Workspace(docs.sparkSession, "one-of-each").write(kept, "kept")
     own_id, own_key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
     named = kept.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
-    same = docs.join(named, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left_semi")
+    same = docs.join(named, F.col("doc_id").eqNullSafe(F.col(own_id)) & (key_of_text() == F.col(own_key)), "left_semi")
     if kept.where("n > 1").isEmpty():
         return same
     key = free_name(docs, "text_key")
-    return same.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
+    return same.withColumn(key, key_of_text()).dropDuplicates(["doc_id", key]).drop(key)
