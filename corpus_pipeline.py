@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, jaccard, lines, mixing, quality
+from groundwork.llm import bpe, lines, mixing, quality, simhash
 from groundwork.llm.common import Workspace
 
 
@@ -16,13 +16,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted from the texts; n_chars follows. A document of which no visible character is left goes."""
-    out = lines.dedup_lines(docs, min_words=lines.MIN_WORDS).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.selectExpr(*(c if c != "n_chars" else "if(n_removed = 0, n_chars, cast(length(text) as long)) n_chars" for c in docs.columns))
+    out, removed = lines.dedup_lines(docs, min_words=lines.MIN_WORDS), lines.names_for(docs)["n_removed"]
+    out = out.where(f"{removed} = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.selectExpr(*(f"if({removed} = 0, n_chars, cast(length(text) as long)) n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8) stays: that with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mix_sources), ("encoding", encode)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("mixing", mix_sources), ("encoding", encode)]
 
 #: SQL has no byte-level BPE; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
