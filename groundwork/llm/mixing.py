@@ -6,10 +6,11 @@ are accumulated within each source, and inside a bucket a running sum completes
 source's documents in key order up to its exact budget, running through the source again where the budget exceeds it.
 
 The tables of sources (one row each) and of buckets (one row per BUCKET_ROWS documents) are all that is ever sorted
-in one task; neither is sent to the driver. Keys are a function of doc_id, so reruns agree.
+in one task; neither is sent to the driver. Keys are a function of doc_id and text, so reruns agree, and rows that share
+an id (or have none) are spread like others.
 
 Defined cases: a null or blank text has size zero, is taken zero words, and never moves a cut; a null source is a
-source of its own, after all others; repeated rows count and are taken as separate rows; an empty table gives an
+source of its own, after all others; rows that repeat doc_id, source and text count and are taken as separate rows, in any order among themselves; an empty table gives an
 empty mix; extra columns pass through, and working columns take names that none of them has.
 """
 
@@ -30,14 +31,14 @@ BUCKET_ROWS = 2_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words in the text): the text is read once and does not travel."""
+    """doc_id, source, text_key, size (words in the text): the text is read once and does not travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "source": b.column("source"), "size": pa.array([len(x.split()) for x in text_bytes(b)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "source": b.column("source"), "text_key": b.column("text_key"), "size": pa.array([len(x.split()) for x in text_bytes(b)], pa.int64())})
 
-    plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "cast(text as string) text")
-    return map_batches(plain, run, "doc_id long, source string, size long")
+    plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "xxhash64(cast(text as string)) text_key", "cast(text as string) text")
+    return map_batches(plain, run, "doc_id long, source string, text_key long, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -65,13 +66,13 @@ def source_key(source: Column) -> Column:
 
 
 def random_key(seed: int) -> Column:
-    return F.expr(f"shiftrightunsigned(xxhash64({seed}L, doc_id), 1)")
+    return F.expr(f"shiftrightunsigned(xxhash64({seed}L, doc_id, text_key), 1)")
 
 
 def mix(sized: DataFrame, rows: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
     """`rows` (by default `sized`) with source_size, target and taken: words the mix takes of a row, repeats counted.
 
-    `rows` has doc_id, source and size, and may carry texts; the sums are formed from `sized` alone, without texts.
+    `rows` has doc_id, source, text_key and size, and may carry texts; the sums are formed from `sized` alone, without texts.
     The tables of sources and of buckets are written, so that the planner knows their real sizes: it broadcasts them up
     to its limit, and does not shuffle the rows by source, only by bucket.
     """
@@ -86,13 +87,13 @@ def mix(sized: DataFrame, rows: DataFrame | None = None, weights: tuple[float, .
     in_buckets = dealt(sized).groupBy("mix_source", "mix_bucket").agg(F.sum("size").alias("bucket_size"))
     so_far = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = work.write(in_buckets.select("mix_source", "mix_bucket", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0)).alias("bucket_start")), "buckets")
-    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt(rows).join(starts, ["mix_source", "mix_bucket"]).withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0)
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.withColumn("taken", taken.cast("long")).drop("mix_source", "mix_bucket", "mix_key", "n_rows", "n_buckets", "bucket_start", "before")
+    return placed.withColumn("taken", taken.cast("long")).drop("mix_source", "mix_bucket", "mix_key", "n_rows", "n_buckets", "bucket_start", "before", "text_key")
 
 
 def first_words(text: bytes, n: int) -> bytes:
@@ -135,6 +136,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     sized = work.write(sizes(docs), "sizes")
     names = [f"c{i}" for i in range(len(fields))]  # no clash with working columns
     rows = map_batches(docs, with_size, StructType([*fields, StructField("size", LongType())])).toDF(*names, "size")
-    rows = rows.withColumns({"doc_id": F.col(names[at["doc_id"]]).cast("long"), "source": F.col(names[at["source"]]).cast("string")})
+    rows = rows.withColumns({"doc_id": F.col(names[at["doc_id"]]).cast("long"), "source": F.col(names[at["source"]]).cast("string"), "text_key": F.xxhash64(F.col(names[at["text"]]).cast("string"))})
     taken = mix(sized, rows, weights, share, most, seed).where("taken > 0").select(*names, "size", "taken")
     return map_batches(taken, cut, docs.schema)
