@@ -11,11 +11,13 @@ not read, so names that clash cannot matter.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +26,10 @@ from groundwork.llm.common import map_batches
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE_CHARS = 1 << 16
-#: A visible character followed by a blank or a line feed: the split pattern never joins the two in one match,
-#: its white-space alternatives look ahead only, and what stands before the boundary ends on a visible character.
-BOUNDARY = re.compile(r"\S(?=[ \n])")
+#: A visible character followed by a blank or a line feed, and the pattern for which that is safe: it never joins the two in
+#: one match, its white-space alternatives look ahead only, and what stands before the boundary ends on a visible
+#: character. Texts are not cut under any other pattern.
+BOUNDARY, CUT_PATTERN = re.compile(r"\S(?=[ \n])"), public_tokenizers.PATTERN
 
 
 def read_ranks(path: str) -> bytes:
@@ -35,6 +38,7 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+@functools.lru_cache(maxsize=4)
 def build(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, list[bytes]]:
     pairs = [line.split() for line in ranks.splitlines() if line]
     merge = {base64.b64decode(token): int(rank) for token, rank in pairs}
@@ -53,10 +57,10 @@ def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(encoding: tiktoken.Encoding, text: str | None) -> list[int]:
+def encode_text(encoding: tiktoken.Encoding, text: str | None, pattern: str) -> list[int]:
     if not text:
         return []
-    if len(text) <= PIECE_CHARS:
+    if len(text) <= PIECE_CHARS or pattern != CUT_PATTERN:
         return encoding.encode_ordinary(text)
     return [i for piece in safe_pieces(text) for i in encoding.encode_ordinary(piece)]
 
@@ -76,7 +80,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, with_i
         for batch in batches:
             counts, of_ids, of_bytes, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
-                ids = encode_text(encoding, text)
+                ids = encode_text(encoding, text, shared.value[1])
                 counts.append(len(ids))
                 packed = np.array(ids, "<u4")
                 of_ids.append(sha(packed.tobytes()))
