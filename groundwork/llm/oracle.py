@@ -4,10 +4,12 @@ from groundwork.llm import lines, mixing, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Runs of one up to MIN_LINES lines, each with its words; a run counts if it has all the lines, or the words.
 LINES = f"""with d as (select distinct doc_id, text from documents where text is not null), l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
- w as (select doc_id, text, i, [{", ".join(f"lead(line, {k}) over (partition by doc_id, text order by i)" for k in range(lines.MIN_LINES))}] as run, lead(i, {lines.MIN_LINES - 1}) over (partition by doc_id, text order by i) as last from l),
- f as (select *, min((coalesce(doc_id, 9223372036854775807), i)) over (partition by run) as first from w where last is not null),
- gone as (select distinct doc_id, text, unnest(range(i, i + {lines.MIN_LINES})) as i from f where (coalesce(doc_id, 9223372036854775807), i) > first),
+ n as (select *, len(regexp_extract_all(line, '{WORD}')) as words from l),
+ w as ({" union all ".join(f"select doc_id, text, i, {k} as lines, [{', '.join(f'lead(line, {j}) over p' for j in range(k))}] as run, {' + '.join(f'lead(words, {j}) over p' for j in range(k))} as words from n window p as (partition by doc_id, text order by i)" for k in range(1, lines.MIN_LINES + 1))}),
+ f as (select *, min((coalesce(doc_id, 9223372036854775807), i)) over (partition by run) as first from w where words is not null and (lines = {lines.MIN_LINES} or words >= {lines.MIN_WORDS})),
+ gone as (select distinct doc_id, text, unnest(range(i, i + lines)) as i from f where (coalesce(doc_id, 9223372036854775807), i) > first),
  edge as (select *, i - row_number() over (partition by doc_id, text order by i) as run from gone),
  kept as (select l.doc_id, l.text, string_agg(line, chr(10) order by l.i) filter (g.i is null) as kept, count(*) as n_lines, count(g.i) as n_removed from l left join gone g on g.doc_id is not distinct from l.doc_id and g.text = l.text and g.i = l.i group by all),
  runs as (select doc_id, text, count(distinct run) as n_runs from edge group by all)
@@ -16,7 +18,7 @@ LINES = f"""with d as (select distinct doc_id, text from documents where text is
 
 
 def _urls() -> str:
-    longest = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r))
+    longest = urls.in_order(urls.RULES)
     fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", v, h + p) for v, h, p in longest]
     case = lambda i: "case " + " ".join(f"when {f[0]} then '{f[i]}'" for f in fits) + " end"
     tag = "regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>')"
@@ -45,6 +47,9 @@ QUALITY = f"""with t as (select doc_id, coalesce(text, '') as text, regexp_extra
  rep as (select r, count(distinct i + k) as n from often, (select unnest([0, 1, 2]) as k) group by r),
  m as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines from b left join rep using (r)),
  f as (select *, n_words < 50 as few, 100 * n_repeat_words > 50 * n_words as often, 10 * n_symbols > n_words as symbols, n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines as dup, word_chars < 2 * n_words or word_chars > 15 * n_words as odd from m)
- select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, (few::int + 2 * often::int + 4 * symbols::int + 8 * dup::int + 16 * odd::int)::bigint as failed_mask, few or often as base_failed, not (few or often or symbols or dup) as kept from f"""
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, (few::int + 2 * often::int + 4 * symbols::int + 8 * dup::int + 16 * odd::int)::bigint as failed_mask, few or often as base_failed, not (few or often or symbols or dup or odd) as kept from f"""
 
-ORACLE = {"op3_line_dedup": LINES, "op6_url_filter": _urls(), "mixing_targets": MIX, "op9_quality": QUALITY}
+ABLATIONS = f"""with q as ({QUALITY}), r as (select unnest(['few_words', 'repeated_words', 'many_symbols', 'repeated_lines', 'word_length']) as rule, unnest([1, 2, 4, 8, 16]) as bit)
+ select rule, count(*) filter (failed_mask & bit <> 0) as n_failed, count(*) filter (failed_mask = bit) as n_kept_without from r, q group by rule"""
+
+ORACLE = {"quality_ablations": ABLATIONS, "op3_line_dedup": LINES, "op6_url_filter": _urls(), "mixing_targets": MIX, "op9_quality": QUALITY}

@@ -60,9 +60,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", base).withColumn("kept", quality.keeps(rows.failed_mask, "v1"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 does, from the masks alone."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op5_ann, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz, mixing_targets)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_line_dedup, op4_chat, op5_ann, op6_url_filter, op7_mixing, op8_simhash, op9_quality, op10_katz, mixing_targets, quality_ablations)}
 __all__ = ["ORACLE", "QUERIES"]
