@@ -100,6 +100,38 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_rules_of_equal_length(spark):
+    df = spark.createDataFrame([(1, "http://b.a.com/xy", None), (2, "http://a.com/x", None)], "page_id long, url string, html string")
+    for limit in (256, 0):
+        urls.RULES_IN_PLAN = limit
+        for verdicts in (("allow", "block"), ("block", "allow")):
+            rules = ((verdicts[0], "a.com", "/x"), (verdicts[1], "a.com", "/x"))
+            assert {r["verdict"] for r in urls.judge(df, rules).collect()} == {"allow"} == {r["verdict"] for r in urls.judge(df, rules[::-1]).collect()}
+        rules = (("block", "b.a.com", "/x"), ("block", "a.com", "/xy"), ("block", "com", "/"))
+        assert {r["page_id"]: r["rule"] for r in urls.judge(df, rules).collect()} == {1: "b.a.com/x", 2: "com/"}
+    urls.RULES_IN_PLAN = 256
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(5, "s", f"{w} b c d", "x") for w in "abcdefgh"] + [(None, "s", f"{w} y", "x") for w in "mno"] + [(9, "t", "p q r s t u v w x y z", "x")]
+    shown = []
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        df = spark.createDataFrame(order, "doc_id long, source string, text string, text_key string").repartition(3)
+        shown.append(sorted(map(str, mixing.mixed_documents(df).collect())))
+    assert shown[0] == shown[1] == shown[2] and shown[0]
+
+
+def test_line_stage_with_clashing_names(spark):
+    import corpus_pipeline
+
+    run = "one two\nthree four\nfive six"
+    rows = [(1, run, 20, 0), (2, run, 20, 0), (3, f"{run}\nown", 24, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, n_removed int").selectExpr("*", "7 as _n_removed", "8 as n_runs")
+    out = corpus_pipeline.line_dedup(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, run, 20, 0, 7, 8), (3, "own", 3, 0, 7, 8)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -124,10 +156,12 @@ def test_pipeline(spark, tmp_path):
         if r["doc_id"] < 100:
             assert (boiler in r["text"]) == first and r["n_chars"] == len(r["text"])
             first = False
-    assert sorted(r["doc_id"] for r in seen["near-dedup"]) == list(range(30))
-    total = sum(len(r["text"].split()) for r in seen["near-dedup"])
+    assert sorted(r["doc_id"] for r in seen["SimHash near-dedup"]) == list(range(30))
+    total = sum(len(r["text"].split()) for r in seen["SimHash near-dedup"])
     assert abs(sum(len(r["text"].split()) for r in seen["mixing"]) - 1.5 * total) <= 3
     encoding, _ = bpe.build(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["ids"] for r in out) == sorted(encoding.encode_ordinary(r["text"]) for r in seen["mixing"])
     assert simhash.WORDS == 3
+    df.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -51,6 +51,14 @@ def test_bpe_pieces_join_to_the_same_ids(seed):
     assert [i for p in pieces for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_bpe_cuts_no_text_under_another_pattern(spark):
+    pattern = r"\S+\n*|\s+"  # takes line feeds along, which the boundary would part
+    text = "word\nword\n" * 20_000
+    encoding, _ = bpe.build(bpe.read_ranks(RANKS), pattern)
+    got = bpe.encode(spark, docs(spark, [(1, text)]), RANKS, pattern, with_ids=True).first()
+    assert got["ids"] == encoding.encode_ordinary(text)
+
+
 def test_chat_round_trip_of_random_control_strings():
     rng = random.Random(1)
     for _ in range(300):
@@ -96,11 +104,24 @@ def test_quality_ledger_policies_and_ablations(spark):
     assert [r["doc_id"] for r in kept.collect()] == [10]
     table = {r["rule"]: r for r in quality.ablations(quality.ledger(docs(spark, rows)), "v1").collect()}
     assert set(table) == set(quality.RULES) and table["few_words"]["n_failed"] == sum(brute_quality(t)[0] < 50 for _, t in rows)
+    # of each version every rule can decide: alone if it is fatal or nothing is tolerated, beside another if one is
+    for name, p in quality.POLICIES.items():
+        kept = lambda *rules, name=name: spark.range(1).select(quality.keeps(quality.F.lit(quality.bits(rules)), name)).first()[0]
+        assert kept() and all(not kept(x) for x in p["fatal"])
+        assert all(kept(x) == bool(p["tolerated"]) and any(not kept(x, y) for y in quality.RULES) for x in p["soft"])
     out = quality.kept_documents(docs(spark, rows), "v1")
     assert out.columns == docs(spark, rows).columns and [r["doc_id"] for r in out.collect()] == [10]
     assert quality.ledger(docs(spark, [])).count() == 0
 
 
+def test_quality_of_long_texts_in_slices(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(quality, "SLICE", 9)
+    for _ in range(500):
+        t = "".join(rng.choice(["a", "b", "é", "#", " ", "\n", "\t", "ab"]) for _ in range(rng.randint(0, 60)))
+        assert quality.measure(t.encode()) == brute_quality(t)
+
+
 def brute_fp(t):
     w = re.findall(WORD, lower(t or ""))
     if not w:
@@ -246,7 +267,7 @@ def test_katz(spark, monkeypatch, small_chunks, fan, share):
 
 
 def test_exchange_hops():
-    assert [exchange.spans_of(n) for n in (1, 64, 65, 4096, 4097, 10**6)] == [[1], [1], [2, 1], [64, 1], [65, 2, 1], [15625, 245, 4, 1]]
+    assert [exchange.spans_of(n) for n in (1, 128, 129, 16384, 16385, 10**7)] == [[1], [1], [2, 1], [128, 1], [129, 2, 1], [78125, 611, 5, 1]]
 
 
 @pytest.mark.parametrize("alphabet", [0, 1024])
@@ -307,31 +328,50 @@ def brute_lines(rows, m):
             yield i, "\n".join(x for j, x in enumerate(ls) if j not in gone[i, t]), len(ls), len(gone[i, t])
 
 
-def test_jaccard_classes_and_the_pipelines_stage(spark):
+@pytest.mark.parametrize("fan", [exchange.FAN, 2])
+def test_similarity_classes_and_the_pipelines_stage(spark, monkeypatch, fan):
     import corpus_pipeline
 
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 8_000)
     rng = random.Random(8)
     texts = []
-    for _ in range(4):
-        base = [f"w{rng.randrange(500)}" for _ in range(120)]
-        for k in (0, 0, 1, 1, 2, 3, 4, 6, 2, 3, 1):
+    for size in (120, 120, 40, 700):
+        base = [f"w{rng.randrange(500)}" for _ in range(size)]
+        for k in (0, 0, 1, 1, 2, 3, 4, 6, 2, 3, 1, 5, 8, 12):
             w = list(base)
-            for _ in range(k):
-                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
-            texts.append(" ".join(w) + " common words that all of them have at their end")
-    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, " "), (902, "one two"), (903, "One  two"), (None, texts[0]), (3, texts[3])]
+            for _ in range(k * max(1, size // 120)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(12)}"
+            texts.append(" ".join(w[: rng.choice([len(w), len(w), size - 3])]) + " common words that all of them have at their end")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, " "), (902, "one two"), (903, "One  two"), (None, texts[0]), (3, texts[3]), (3, texts[3]), (900, "")]
     w = [re.findall(WORD, lower(t or "")) for _, t in rows]
     sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
     near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) / len(a | b) >= 0.8]
+    assert len(near) > 60 and any(sets[i] != sets[j] for i, j in near)
     root, named = components(range(len(rows)), near), {}
     for k, r in root.items():
         named.setdefault(r, []).append(rows[k][0])
     want = sorted((str(rows[k][0]), min(x for x in named[r] if x is not None)) for k, r in root.items())
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.classes_of(docs(spark, rows)).collect()) == want
-    assert any((simhash.fingerprint(rows[i][1].encode()) ^ simhash.fingerprint(rows[j][1].encode())).bit_count() > 3 for i, j in near if rows[i][1] and rows[j][1])
-    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), "")
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for _, i in want})
-    assert jaccard.one_of_each(docs(spark, [])).count() == 0
+    if fan > 2:
+        assert any((simhash.fingerprint(rows[i][1].encode()) ^ simhash.fingerprint(rows[j][1].encode())).bit_count() > 3 for i, j in near if rows[i][1] and rows[j][1])
+        kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), "")
+        assert kept.columns == docs(spark, rows).columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({i for _, i in want})
+        assert simhash.one_of_each(docs(spark, []), words=5, similarity=0.8).count() == 0
+
+
+def test_odd_sketches_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(60):
+        n = int(rng.integers(1, 3000))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        pairs.append((np.unique(x), np.unique(np.concatenate((x[: int(n * rng.uniform(0.4, 1))], rng.integers(0, 2**63, int(rng.integers(0, 300))).astype(np.uint64))))))
+    df = spark.createDataFrame([(i, *(jaccard.odd_sketch(s).view(np.int64).tolist() for s in p)) for i, p in enumerate(pairs)], "i int, a array<long>, b array<long>")
+    got = dict(df.select("i", jaccard.apart(jaccard.F.col("a"), jaccard.F.col("b"))).collect())
+    for i, (x, y) in enumerate(pairs):
+        assert got[i] <= len(np.setxor1d(x, y))
+    assert got[0] > 0 and all(len(jaccard.odd_sketch(x)) <= jaccard.MOST_LONGS for x, _ in pairs)
 
 
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
@@ -387,10 +427,35 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0), 20, "vec_id", "embedding").count() == 0
 
 
-def test_graph_recall_with_uneven_lengths():
+def lengths_of(kind, rng, n):
+    out = {"noise": np.ones(n), "uniform": rng.uniform(0.5, 2, n), "log-normal": rng.lognormal(size=n), "long": np.ones(n), "very long": np.ones(n)}[kind]
+    out[::100] *= {"long": 5, "very long": 10}.get(kind, 1)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["noise", "uniform", "log-normal", "long", "very long"])
+def test_recall_within_a_shard(kind):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 24)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
-    graph, entry = ann.build_graph(x)
-    found, _ = ann.beam_search(x, graph, entry, x[::20], ann.SEARCH_BEAM)
-    top = np.argsort(-(x[::20] @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), found.tolist(), strict=True)]) >= 0.9
+    x = (rng.normal(size=(3000, 64)) * lengths_of(kind, rng, 3000)[:, None]).astype(np.float32)
+    order, bands = ann.build_bands(x, 21)
+    found, scores = ann.search_bands(x[order], bands, x[::20], 21)
+    true = -np.sort(-(x[::20].astype(float) @ x.astype(float).T), axis=1)[:, 19:20]
+    assert (-np.sort(-scores, axis=1)[:, :20] >= true - 1e-9).mean() >= 0.95
+    assert all(len(set(f[f >= 0])) == (f >= 0).sum() for f in found)
+
+
+def test_recall_over_several_shards(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(2400, 32)) * lengths_of("uniform", rng, 2400)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20, "vec_id", "embedding", shard_rows=500).toPandas()
+    every = x.astype(float) @ x.astype(float).T
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        want = [j for j in np.lexsort((np.arange(2400), -every[q])).tolist() if j != q][:20]
+        assert len(own) == 20 and (own.sort_values("rank")["score"].diff().dropna() <= 0).all() and q not in own["vec_id"].tolist()
+        hits += len(set(want) & set(own["vec_id"]))
+    assert hits / (20 * 120) >= 0.95
+    wide = df.selectExpr("vec_id", "cast(embedding as array<double>) embedding").limit(50)
+    r = ann.nearest(wide, wide.where("vec_id = 0"), 1, "vec_id", "embedding").first()
+    assert r["score"] == max(float(np.dot(x[0].astype(float), x[j].astype(float))) for j in range(1, 50)) or abs(r["score"] - max(every[0, 1:50])) < 1e-12
