@@ -137,7 +137,7 @@ def h11_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(None)
+@query(f"with {SQL_SHINGLES}, k as (select source, lang, doc_id, list_sort(s) as s from sets) select source, lang, doc_id, min(doc_id) over w as representative, count(*) over w as copies from k window w as (partition by source, lang, s)")
 def h11_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document of h11_similar_pairs stands for each document."""
     return dedupe.membership(t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "text")
