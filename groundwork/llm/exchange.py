@@ -9,7 +9,7 @@ No chunk sends more than FAN rows. Where there are more parts than that, rows go
 parts from up to FAN chunks, adds them up as a part would, asks on in their place, at finer ranges, and hands the answers
 back. So the rows that move grow with the input, not with its square, in as many hops as the logarithm of the parts.
 
-Rows are packed arrays; parts hold about as many keys as PART_CHUNKS chunks, and relays as one.
+Rows are packed arrays; parts and relays hold about as many keys as a chunk.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from groundwork.llm.common import Workspace, map_batches, partitions, release
 #: Bytes of text after which a chunk is full.
 CHUNK_BYTES = 8 << 20
 #: Rows that a chunk or relay sends at most, and chunks of keys in a part.
-FAN, PART_CHUNKS = 64, 2
+FAN, PART_CHUNKS = 128, 1
 
 Table = dict[str, np.ndarray]
 Merge = Callable[[list[Table]], tuple[Table, list[np.ndarray]]]
@@ -100,13 +100,31 @@ def runs(*sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def ordered(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by several keys, whole numbers from 0 on: keys are joined as long as they fit into 64 bits, then replaced by their ranks."""
+    joined, bits = np.zeros(len(keys[0]), np.uint64), 0
+    for k in keys:
+        more = int(k.max()).bit_length() if len(k) else 0
+        if bits + more > 64:
+            order = np.argsort(joined)
+            begin = runs(joined[order])
+            joined = np.empty_like(joined)
+            joined[order] = np.repeat(np.arange(len(begin), dtype=np.uint64), np.diff(np.append(begin, len(order))))
+            bits = len(begin).bit_length()
+            if bits + more > 64:
+                return np.lexsort(keys[::-1])
+        joined = (joined << np.uint64(more) if more < 64 else np.zeros_like(joined)) | k.astype(np.uint64)
+        bits += more
+    return np.argsort(joined)
+
+
 def added(keys: tuple[str, ...], sums: tuple[str, ...]) -> Merge:
     """Puts tables together: rows of equal keys become one, `sums` are added up, other columns are equal where the keys are.
     Gives the merged table, sorted by part and keys, and for each table the places of its rows in it."""
 
     def merge(tables: list[Table]) -> tuple[Table, list[np.ndarray]]:
         columns = {k: np.concatenate([t[k] for t in tables]) for k in tables[0]}
-        order = np.lexsort([columns[k] for k in (*reversed(keys), "part")])
+        order = ordered([columns[k] for k in ("part", *keys)])
         begin = runs(*(columns[k][order] for k in keys))
         index = np.empty(len(order), np.int64)
         index[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
@@ -187,14 +205,24 @@ class Chunks:
         self.spark, self.work, self.name = spark, work, f"groundwork_chunks_{uuid.uuid4().hex}"
         plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
         rows = map_batches(plain, run, f"chunk long, {schema}")
+        self._save(rows, self.name)
+        self.count = self.table.select("chunk").count()
+        self.parts = max(1, -(-self.count // PART_CHUNKS))
+
+    def _save(self, rows: DataFrame, name: str) -> None:
         try:
-            rows.write.format("parquet").option("compression", "zstd").bucketBy(partitions(spark), "chunk").saveAsTable(self.name)
-            self.table = spark.table(self.name)
-            self.count = self.table.select("chunk").count()
+            rows.write.format("parquet").option("compression", "zstd").bucketBy(partitions(self.spark), "chunk").saveAsTable(name)
         except BaseException:
-            self.drop()
+            self.spark.sql(f"drop table if exists {name}")
             raise
-        self.parts = max(1, -(-self.count // PART_CHUNKS))
+        self.name, self.table = name, self.spark.table(name)
+
+    def replace(self, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> None:
+        """The chunks become f of each chunk's row and of the answers to it; what they were goes."""
+        old = self.name
+        self._save(self.with_answers(answers, f, schema), f"groundwork_chunks_{uuid.uuid4().hex}")
+        self.spark.sql(f"drop table if exists {old}")
+        release(self.spark)
 
     def __enter__(self) -> Chunks:
         return self
@@ -205,24 +233,25 @@ class Chunks:
     def drop(self) -> None:
         self.spark.sql(f"drop table if exists {self.name}")
 
-    def ask(self, answers: DataFrame | None, question: Callable[[dict, list[dict]], Table], merge: Merge, resolve: Callable[[int, Table, list[Table]], dict[str, Table]], name: str, stored: DataFrame | None = None) -> Asked:
+    def ask(self, answers: DataFrame | None, question: Callable[[dict, list[dict]], Table], merge: Merge, resolve: Callable[[int, Table, list[Table]], dict[str, Table]], name: str, stored: DataFrame | None = None, tidy: Callable[[Table, Table], Table] | None = None) -> Asked:
         """question: of a chunk's row and its answers so far, a table of distinct keys sorted by `part` and, within it, as
         `merge` sorts. resolve: of a part, all that is asked of it, and what `stored` (at, blob) has for it, the `answer`
-        in the order of the merged rows, and, if it likes, tables that are kept and `totals` for the driver."""
+        in the order of the merged rows, and, if it likes, tables that are kept and `totals` for the driver. tidy: of a
+        question and its answer, the answer without what the asker can do without."""
         spans, squads = spans_of(self.parts), max(1, -(-self.count // FAN))
 
         def asked(left: pa.Table, right: pa.Table) -> pa.Table:
             return sent([x for row in left.to_pylist() for x in dealt(row["chunk"], row["chunk"] % squads, question(row, right.to_pylist()), spans[0])])
 
         said: list[DataFrame] = []
-        answered = self._hop(self.with_answers(answers, asked, SENT), spans, 0, merge, resolve, name, stored, said)
+        answered = self._hop(self.with_answers(answers, asked, SENT), spans, 0, merge, resolve, name, stored, tidy, said)
         release(self.spark)
         return Asked(answered.selectExpr("asker chunk", f"'{name}' name", "at", "blob"), said[0])
 
-    def _hop(self, rows: DataFrame, spans: list[int], level: int, merge: Merge, resolve: Callable, name: str, stored: DataFrame | None, said: list[DataFrame]) -> DataFrame:
+    def _hop(self, rows: DataFrame, spans: list[int], level: int, merge: Merge, resolve: Callable, name: str, stored: DataFrame | None, tidy: Callable | None, said: list[DataFrame]) -> DataFrame:
         """asker, at, blob: the answers to the rows sent."""
         if spans[level] == 1:
-            return self._parts(rows, merge, resolve, name, stored, said)
+            return self._parts(rows, merge, resolve, name, stored, tidy, said)
         finer = spans[level + 1]
 
         def relayed(rows: pa.Table) -> pa.Table:
@@ -249,19 +278,21 @@ class Chunks:
             return sent(out)
 
         relays = self.work.write(rows.groupBy("squad", "at").applyInArrow(relayed, "relay long, squad long, at long, askers array<long>, places binary, merged binary"), f"{name}-relays-{level}", "uncompressed")
-        got = self._hop(map_batches(relays.select("relay", "squad", "merged"), on, SENT), spans, level + 1, merge, resolve, name, stored, said)
+        got = self._hop(map_batches(relays.select("relay", "squad", "merged"), on, SENT), spans, level + 1, merge, resolve, name, stored, None, said)
         out = relays.select("relay", "at", "askers", "places").groupBy("relay").cogroup(got.withColumnRenamed("asker", "relay").groupBy("relay")).applyInArrow(back, SENT)
         return self.work.write(out, f"{name}-answers-{level}", "uncompressed").select("asker", "at", "blob")
 
-    def _parts(self, rows: DataFrame, merge: Merge, resolve: Callable, name: str, stored: DataFrame | None, said: list[DataFrame]) -> DataFrame:
+    def _parts(self, rows: DataFrame, merge: Merge, resolve: Callable, name: str, stored: DataFrame | None, tidy: Callable | None, said: list[DataFrame]) -> DataFrame:
         def answered(asked: pa.Table, have: list[Table]) -> pa.Table:
             asked = sorted(asked.to_pylist(), key=lambda r: r["asker"])
             if not asked:
                 return pa.table({"asker": pa.array([], pa.int64()), "at": pa.array([], pa.int64()), "kind": pa.array([], pa.string()), "blob": pa.array([], pa.binary())})
             at = asked[0]["at"]
-            merged, index = merge([unpacked(r["blob"]) for r in asked])
+            tables = [unpacked(r["blob"]) for r in asked]
+            merged, index = merge(tables)
             got = resolve(at, merged, have)
-            out = [(r["asker"], "answer", packed(rows_of(got["answer"], i))) for r, i in zip(asked, index, strict=True)] + [(-1, k, packed(v)) for k, v in got.items() if k != "answer"]
+            own = (rows_of(got["answer"], i) for i in index)
+            out = [(r["asker"], "answer", packed(tidy(t, x) if tidy else x)) for r, t, x in zip(asked, tables, own, strict=True)] + [(-1, k, packed(v)) for k, v in got.items() if k != "answer"]
             return pa.table({"asker": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([at] * len(out), pa.int64()), "kind": pa.array([x[1] for x in out], pa.string()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
         schema, by = "asker long, at long, kind string, blob binary", rows.groupBy("at")
