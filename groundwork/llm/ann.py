@@ -2,12 +2,13 @@
 
 Equal vectors are one node, which carries the smallest ids that any result list can need. Nodes are dealt into shards by
 hash. A shard's nodes are cut into bands of nearly equal length, the longest first, and each band gets a graph: points are
-inserted in batches, a greedy beam search proposes neighbours, and robust pruning by angle keeps a neighbour unless a kept one
-is closer to it by the factor ALPHA; reverse edges are pruned alike. Within a band the order by inner product is
-nearly that by angle, which graphs can follow; over all lengths it isn't. What no edge reaches is chained to the entry.
+inserted in batches, a greedy beam search proposes neighbours, and robust pruning keeps a neighbour unless a kept one is
+closer to it by the factor ALPHA; reverse edges are pruned alike. Within a band the order by inner product is nearly that
+by distance, which graphs can follow; over all lengths it isn't. What no edge reaches is chained to the entry.
 
 How wide a beam a graph needs depends on the vectors. So each graph is tried with a sample of its shard's vectors against
-brute force, and the beam is doubled until it finds TARGET of the neighbours (at the latest when it holds the whole band).
+brute force, and the beam is doubled until it finds TARGET of the neighbours. Where a beam of an eighth of the band doesn't,
+as among thousands of near copies, the band is scanned: that is exact, and cheaper than so wide a beam.
 
 Queries go to every shard in blocks, from band to band, and leave out bands whose longest vector can't reach what they
 have found. The beam's nodes are scored in double precision on the original vectors, and the shards' best are merged.
@@ -39,7 +40,7 @@ WIDTH = 4
 #: Lengths in a band differ by this factor at most, unless it would have fewer nodes.
 RATIO, LEAST_BAND = 1.2, 64
 #: The share of the neighbours that a beam must find, and vectors that it is tried with.
-TARGET, TRIED = 0.97, 64
+TARGET, TRIED, SCAN = 0.95, 64, 8
 
 
 def nearest_first(d: np.ndarray, k: int) -> np.ndarray:
@@ -50,15 +51,15 @@ def nearest_first(d: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (-1: none) and -inner products of each query's beam, nearest first."""
-    q = len(queries)
+def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (-1: none) and -inner products of each query's beam, nearest first. bias: half the squared lengths, for an order by distance."""
+    q, bias = len(queries), np.zeros(len(points), np.float32) if bias is None else bias
     seen = np.zeros((q, len(points) + 1), bool)
     seen[:, -1] = True  # where -1 points
     seen[:, entry] = True
     nodes = np.full((q, beam), -1, np.int32)
     dist = np.full((q, beam), np.inf, np.float32)
-    nodes[:, 0], dist[:, 0] = entry, -(queries @ points[entry])
+    nodes[:, 0], dist[:, 0] = entry, bias[entry] - queries @ points[entry]
     done = np.zeros((q, beam), bool)
     live = np.arange(q)
     wide = min(WIDTH, beam)
@@ -76,7 +77,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.n
         found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
         fresh = ~seen[live[:, None], found]
         seen[live[:, None], found] = True
-        d = np.where(fresh, -np.matmul(points[found], queries[live][:, :, None])[:, :, 0], np.inf).astype(np.float32)
+        d = np.where(fresh, bias[found] - np.matmul(points[found], queries[live][:, :, None])[:, :, 0], np.inf).astype(np.float32)
         all_d, all_n = np.concatenate((dist[live], d), 1), np.concatenate((nodes[live], np.where(fresh, found, -1)), 1)
         all_done = np.concatenate((done[live], np.zeros(found.shape, bool)), 1)
         keep = nearest_first(all_d, beam)
@@ -84,15 +85,17 @@ def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.n
 
 
 def robust_prune(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """For each row of candidates (-1: none) up to `degree` neighbours of the point `of`. Points have length one."""
+    """For each row of candidates (-1: none) up to `degree` neighbours of the point `of`. Distances are formed from
+    differences to that point, so they hold in a dense cluster as well."""
     candidates = np.where(candidates == of[:, None], -1, candidates)
     ordered = np.sort(candidates, axis=1)
     ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1  # repeats
-    near = np.where(ordered < 0, np.inf, 2 - 2 * np.matmul(points[ordered], points[of][:, :, None])[:, :, 0])
+    near = np.where(ordered < 0, np.inf, ((points[ordered] - points[of][:, None, :]) ** 2).sum(2))
     keep = np.argsort(near, axis=1, kind="stable")
     ordered, near = np.take_along_axis(ordered, keep, 1), np.take_along_axis(near, keep, 1)
-    x = points[ordered]
-    between = 2 - 2 * np.matmul(x, x.transpose(0, 2, 1))
+    x = points[ordered] - points[of][:, None, :]
+    square = (x**2).sum(2)
+    between = square[:, :, None] + square[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1))
     out = np.full((len(of), degree), -1, np.int32)
     rows = np.arange(len(of))
     alive = np.isfinite(near)
@@ -108,9 +111,10 @@ def robust_prune(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, deg
 
 
 def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, batch: int = BATCH) -> tuple[np.ndarray, int]:
-    """Neighbours of each node by angle (-1: none; the last column chains what is not reached otherwise) and the entry point."""
+    """Neighbours of each node (-1: none; the last column chains what is not reached otherwise) and the entry point."""
     n = len(vectors)
-    points = (vectors / np.sqrt((vectors.astype(np.float64) ** 2).sum(1))[:, None]).astype(np.float32)
+    points = (vectors / np.sqrt((vectors.astype(np.float64) ** 2).sum(1).max())).astype(np.float32)
+    bias = (points**2).sum(1) / 2
     graph = np.full((n, degree + 1), -1, np.int32)
     entry = int(np.argmax(points @ points.mean(0)))
     order = np.concatenate(([entry], np.delete(np.arange(n), entry)))
@@ -118,7 +122,7 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
     while at < n:
         new = order[at : at + max(1, min(batch, at // 2))]
         at += len(new)
-        near, _ = beam_search(points, graph[:, :degree], entry, points[new], beam)
+        near, _ = beam_search(points, graph[:, :degree], entry, points[new], beam, bias)
         graph[new, :degree] = robust_prune(points, new, near, degree, alpha)
         to, by = graph[new, :degree].ravel(), np.repeat(new, degree)
         to, by = to[to >= 0], by[to >= 0]
@@ -156,17 +160,24 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
 
 
 def beam_for(points: np.ndarray, graph: np.ndarray, entry: int, tried: np.ndarray, k: int, target: float = TARGET) -> int:
-    """The beam with which `tried` find `target` of their k largest inner products among points."""
+    """The beam with which `tried` find `target` of their k largest inner products among points; 0 if none up to 1 / SCAN of them does."""
     k = min(k, len(points))
     scores = tried @ points.T
     least = np.partition(scores, len(points) - k, axis=1)[:, len(points) - k]
     beam = max(BEAM, k)
-    while beam < len(points):
-        _, dist = beam_search(points, graph, entry, tried, beam)
+    while True:
+        _, dist = beam_search(points, graph, entry, tried, min(beam, len(points)))
         if (-dist[:, :k] >= least[:, None] - 1e-6 * np.abs(least[:, None])).mean() >= target:
-            return beam
+            return min(beam, len(points))
         beam *= 2
-    return len(points)
+        if beam * SCAN > len(points):
+            return 0
+
+
+def scan(points: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """Nodes of each query's k largest inner products, and as many more, since these are in single precision."""
+    scores, some = queries @ points.T, min(2 * k, len(points))
+    return np.argpartition(scores, len(points) - some, axis=1)[:, len(points) - some :]
 
 
 def bands_of(lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -205,7 +216,7 @@ def search_bands(vectors: np.ndarray, bands: list[dict], queries: np.ndarray, k:
         if not len(ask):
             continue
         graph = np.frombuffer(band["graph"], np.int32).reshape(-1, DEGREE + 1)
-        found, _ = beam_search(x[a:b], graph, band["entry"], y[ask], max(band["beam"], min(k, b - a)))
+        found = beam_search(x[a:b], graph, band["entry"], y[ask], band["beam"])[0] if band["beam"] else scan(x[a:b], y[ask], k)
         exact = np.where(found < 0, -np.inf, np.matmul(vectors[a:b][found].astype(np.float64), queries[ask].astype(np.float64)[:, :, None])[:, :, 0])
         more_n, more_s = np.full((len(y), found.shape[1]), -1, np.int64), np.full((len(y), found.shape[1]), -np.inf)
         more_n[ask], more_s[ask] = np.where(found < 0, -1, found + a), exact
