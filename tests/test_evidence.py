@@ -631,3 +631,7 @@ def test_h30_echo_reads_what_stands_before_the_evidence(spark):
     assert generate.echo(prompts).first()["text"] == generate.echo(prompts.drop("opening")).first()["text"]
     texts_stay(spark, harness.h30_echo)
     assert not [c for c in moved(harness.h30_echo(spark, SMALL)) if c & {"evidence", "user"}]
+
+
+def test_h29_arm_counts_move_no_texts_with_records(spark):
+    texts_stay(spark, harness.h29_arm_counts)
