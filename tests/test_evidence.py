@@ -635,3 +635,7 @@ def test_h30_echo_reads_what_stands_before_the_evidence(spark):
 
 def test_h29_arm_counts_move_no_texts_with_records(spark):
     texts_stay(spark, harness.h29_arm_counts)
+
+
+def test_h29_flags_move_no_texts_with_records(spark):
+    texts_stay(spark, harness.h29_distractor_flags)
