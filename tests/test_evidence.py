@@ -639,3 +639,7 @@ def test_h29_arm_counts_move_no_texts_with_records(spark):
 
 def test_h29_flags_move_no_texts_with_records(spark):
     texts_stay(spark, harness.h29_distractor_flags)
+
+
+def test_h36_naming_moves_no_texts_with_records(spark):
+    texts_stay(spark, harness.h36_naming_report)
