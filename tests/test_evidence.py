@@ -643,3 +643,41 @@ def test_h29_flags_move_no_texts_with_records(spark):
 
 def test_h36_naming_moves_no_texts_with_records(spark):
     texts_stay(spark, harness.h36_naming_report)
+
+
+def bytes_moved(df):
+    """What the exchanges of a run wrote, before compression."""
+    total = 0
+
+    def walk(p):
+        nonlocal total
+        if p.nodeName() == "Exchange":
+            total += p.metrics().apply("dataSize").value()
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        walk(df._jdf.queryExecution().executedPlan())
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    return total
+
+
+def bytes_a_record(spark, query, tmp_path):
+    """What is moved for each further record: orders once and five times, the documents as they are."""
+    found = []
+    for n in (1, 5):
+        (d := tmp_path / str(n)).mkdir()
+        (d / "documents.parquet").symlink_to(f"{SMALL}/documents.parquet")
+        orders = spark.read.parquet(f"{SMALL}/orders.parquet").crossJoin(spark.range(n))
+        orders.selectExpr("o_orderkey + id * 1000000 o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").write.parquet(str(d / "orders.parquet"))
+        found.append((harness.main_set(spark, str(d)).count(), bytes_moved(query(spark, str(d)))))
+    (few, least), (many, most) = found
+    assert many > 4 * few > 0
+    return (most - least) / (many - few)
+
+
+def test_h29_arm_counts_move_few_bytes_a_record(spark, tmp_path):
+    assert (x := bytes_a_record(spark, harness.h29_arm_counts, tmp_path)) < 3000, x
