@@ -681,3 +681,7 @@ def bytes_a_record(spark, query, tmp_path):
 
 def test_h29_arm_counts_move_few_bytes_a_record(spark, tmp_path):
     assert (x := bytes_a_record(spark, harness.h29_arm_counts, tmp_path)) < 3000, x
+
+
+def test_h29_flags_move_few_bytes_a_record(spark, tmp_path):
+    assert (x := bytes_a_record(spark, harness.h29_distractor_flags, tmp_path)) < 3000, x
