@@ -685,3 +685,7 @@ def test_h29_arm_counts_move_few_bytes_a_record(spark, tmp_path):
 
 def test_h29_flags_move_few_bytes_a_record(spark, tmp_path):
     assert (x := bytes_a_record(spark, harness.h29_distractor_flags, tmp_path)) < 3000, x
+
+
+def test_h36_naming_moves_few_bytes_a_record(spark, tmp_path):
+    assert (x := bytes_a_record(spark, harness.h36_naming_report, tmp_path)) < 3000, x
